@@ -102,8 +102,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         # a node that is its neighbourhood's minimum keeps its links; others hand them on
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.greatest("v", "m").alias("x"), F.least("v", "m").alias("y")).where("x != y")
-        pairs = stash(small.union(low).distinct(), f"{name}-{step}")
+        small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        pairs = stash(small.union(low.select("u", F.col("m").alias("v"))).distinct(), f"{name}-{step}")
         now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, packing, sharding, tokenbin
+from . import chat, packing, quality, sharding, simhash, tokenbin
 
 QUERIES = {
     "op1_sharding": sharding.op1_query,
     "op2_packing": packing.op2_query,
+    "op4_simhash": simhash.op4_query,
     "op7_token_files": tokenbin.op7_query,
+    "op8_quality": quality.op8_query,
     "op10_chat": chat.op10_query,
 }
 SQL = {"op1_sharding": sharding.OP1_SQL, "op10_chat": chat.OP10_SQL}
