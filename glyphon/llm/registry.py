@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, packing, quality, sharding, simhash, tokenbin
+from . import chat, packing, quality, sharding, simhash, suffix, tokenbin
 
 QUERIES = {
     "op1_sharding": sharding.op1_query,
     "op2_packing": packing.op2_query,
     "op4_simhash": simhash.op4_query,
+    "op6_suffix_dedup": suffix.op6_query,
     "op7_token_files": tokenbin.op7_query,
     "op8_quality": quality.op8_query,
     "op10_chat": chat.op10_query,
