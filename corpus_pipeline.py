@@ -1,10 +1,77 @@
-"""The corpus pipeline: stages in order, each over all that the one before it kept."""
+"""The corpus pipeline: stages in order, each over all that the one before it kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of ``documents``. ``run`` writes each stage's rows to the shared folder and
+reads them back, so a lost executor costs at most one stage's work.
+
+Rows without an id are told apart by a hash of their text; empty tables pass through.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glyphon.llm.common import pack, stash, unpack
+from glyphon.llm.decontam import drop_leaks
+from glyphon.llm.lines import fuzzy_line_dedup
+from glyphon.llm.packing import packed_documents
+from glyphon.llm.quality import quality_verdicts
+from glyphon.llm.simhash import simhash_components
+
+#: Words in a shingle of the near-duplicate stage.
+SHINGLE = 5
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no base rule and not the likelihood ratio rejects."""
+    judged = quality_verdicts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.where("kept").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated lines; documents of which nothing is left go."""
+    out = fuzzy_line_dedup(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("long"))
+    return out.where("n_removed = 0 OR trim(text) != ''").select(*docs.columns)
+
+
+def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one of the smallest id."""
+    unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
+    keyed = docs.select(F.coalesce(F.col("doc_id"), unnamed).alias("doc_id"), "text")
+    kept = simhash_components(keyed, shingle=SHINGLE).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    rows = pack(docs).withColumn("_th", F.xxhash64(F.col("_row")["text"]))
+    rows = rows.withColumn("_key", F.coalesce(F.col("_row")["doc_id"], F.col("_th").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)))
+    rows = rows.join(kept, "_key", "left_semi")
+    rows = rows.withColumn("_no", F.row_number().over(Window.partitionBy("_key", "_th").orderBy("_th"))).where("_no = 1")
+    return unpack(rows, docs.columns, [])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in the training sequences."""
+    return packed_documents(docs)
+
+
+STAGES = [
+    ("quality rules", keep_quality),
+    ("line dedup", dedup_lines),
+    ("near-copy dedup", dedup_near_copies),
+    ("decontamination", decontaminate),
+    ("best-fit packing", pack_sequences),
+]
+#: SQL can't express the tokenizer, the edit alignment or the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        out = stash(stage(spark, out, sf_dir), f"stage-{name.replace(' ', '-')}")
+    return out
