@@ -7,12 +7,12 @@ import math
 import os
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glyphon.shipping import ship
+
 #: Name under which a caller's own columns travel while an operator adds others.
 ROW = "_row"
 
@@ -112,22 +112,6 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     return pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(roots).groupBy("node").agg(F.min("root").alias("root"))
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, whose Python needn't find it otherwise; once a context."""
-    sc = spark.sparkContext
-    if sc.applicationId not in _SHIPPED:
-        top = Path(__file__).resolve().parents[2]
-        path = os.path.join(tempfile.mkdtemp(), "glyphon.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for f in sorted((top / "glyphon").rglob("*.py")):
-                z.write(f, f.relative_to(top))
-        sc.addPyFile(path)
-        _SHIPPED.add(sc.applicationId)
-
-
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """``mapInArrow`` over batches bounded by bytes, so long texts don't add up in a worker."""
     spark = df.sparkSession
