@@ -6,6 +6,7 @@ import gc
 import math
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,6 +30,14 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps whose rows are written: Spark deletes them once
+    the driver's garbage is collected, which may otherwise be long after."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(0.2)
+
+
 def stash(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -36,11 +45,10 @@ def stash(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataF
     Shuffle files of earlier steps become free to go, so disk use doesn't add up.
     """
     spark = df.sparkSession
+    release(spark)
     path = shared_dir(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

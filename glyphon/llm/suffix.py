@@ -27,19 +27,21 @@ repeated rows; an empty table gives an empty one; further input columns are not
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stash
+from .common import arrow_map, release, stash
 
 LENGTH, K = 50, 24
 #: Bytes of text in a chunk.
-CHUNK = 1 << 20
+CHUNK = 2 << 20
+#: Representatives that one range of values holds, about; a chunk has some 150,000.
+PER_RANGE = 1_000_000
 _NULL_ID = (1 << 63) - 1
 
 
@@ -224,7 +226,7 @@ def _answers(joined: DataFrame, ranges: int) -> DataFrame:
                 out = [[] for _ in range(7)]
                 for r, s in _split(of[order], ranges):
                     o = order[s]
-                    for column, v in zip(out, (r, chunk, of[o].tobytes(), o.tobytes(), np.concatenate([low[o], high[o]]).tobytes(), sizes[o].tobytes(), b"".join([contents[i] for i in o.tolist()])), strict=True):
+                    for column, v in zip(out, (r, chunk, of[o].tobytes(), o.tobytes(), np.concatenate([low[o], high[o]]).tobytes(), sizes[o].tobytes(), zstandard.compress(b"".join([contents[i] for i in o.tolist()]), 1)), strict=True):
                         column.append(v)
                 kinds = [pa.int64(), pa.string(), *[pa.binary()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["range", "chunk", "rep", "number", "ids", "sizes", "contents"])
@@ -233,7 +235,7 @@ def _answers(joined: DataFrame, ranges: int) -> DataFrame:
         chunks, where, reps, numbers, lows, highs, contents = [], [], [], [], [], [], []
         for b in batches:
             for chunk, rep, number, ids, sizes, data in zip(*[b.column(c).to_pylist() for c in ("chunk", "rep", "number", "ids", "sizes", "contents")], strict=True):
-                n = len(rep) // 8
+                n, data = len(rep) // 8, zstandard.decompress(data)
                 where.append(np.full(n, len(chunks)))
                 chunks.append(chunk)
                 reps.append(np.frombuffer(rep, np.uint64))
@@ -290,12 +292,12 @@ def _answers(joined: DataFrame, ranges: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) and spans (removed [start, end)).
 
-    ``ranges``: tasks of the index and of the comparison; by default one for each two
-    chunks, so that each sees about as many representatives as two chunks have.
+    ``ranges``: tasks of the index and of the comparison; by default as many as give each
+    about ``PER_RANGE`` representatives.
     """
     chunks = _chunks(docs, id_col, text_col)
     if ranges is None:
-        ranges = max(8, chunks.count() // 2)
+        ranges = max(12, chunks.count() * 150_000 // PER_RANGE)
     shared = stash(_candidates(chunks, ranges).groupBy("chunk").agg(F.collect_list("shared").alias("shared")), "candidates")
     joined = chunks.join(shared, "chunk").select("chunk", "ids", "ends", "data", "shared")
     answers = stash(_answers(joined, ranges).groupBy("chunk").agg(F.collect_list("answer").alias("answers")), "answers")
@@ -337,6 +339,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
+    release(docs.sparkSession)
     done = chunks.join(shared, "chunk", "left").join(answers, "chunk", "left").select("chunk", "ids", "ends", "data", "shared", "answers")
     return arrow_map(done, cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<long>")
 
