@@ -63,7 +63,8 @@ class SuffixFamily:
                     self.hits.append(found)
         self.levels.append(batch)
         while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
-            self.levels[-2:] = [np.union1d(self.levels[-2], self.levels[-1])]
+            merged = np.sort(np.concatenate(self.levels[-2:]), kind="stable")  # merges two sorted runs
+            self.levels[-2:] = [merged[np.concatenate([[True], merged[1:] != merged[:-1]])]]
 
     def shared(self) -> np.ndarray:
         return np.unique(np.concatenate(self.hits)) if self.hits else np.zeros(0, np.uint64)
@@ -108,7 +109,7 @@ def blocks(data: bytes, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndar
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """chunk, ids (packed), ends (packed), data."""
+    """chunk, ids (packed), ends (packed), data (compressed)."""
 
     def gather(batches):
         import uuid
@@ -116,7 +117,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         ids, ends, parts, size = [], [], [], 0
 
         def row():
-            arrays = [pa.array([uuid.uuid4().hex]), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.array(ends, "<i8").tobytes()], pa.binary()), pa.array([b"".join(parts)], pa.binary())]
+            arrays = [pa.array([uuid.uuid4().hex]), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([np.array(ends, "<i8").tobytes()], pa.binary()), pa.array([zstandard.compress(b"".join(parts), 3)], pa.binary())]
             return pa.RecordBatch.from_arrays(arrays, ["chunk", "ids", "ends", "data"])
 
         for batch in batches:
@@ -136,6 +137,11 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stash(arrow_map(docs.select(F.col(id_col).cast("long"), text_col), gather, "chunk string, ids binary, ends binary, data binary"), "chunks")
 
 
+def _text(data: bytes) -> bytes:
+    """A chunk's text; compressed in its row, which is shuffled twice."""
+    return zstandard.decompress(data)
+
+
 def _range_of(values: np.ndarray, ranges: int) -> np.ndarray:
     return ((values >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
@@ -154,7 +160,7 @@ def _candidates(chunks: DataFrame, ranges: int) -> DataFrame:
     def arrays(batches):
         for batch in batches:
             for chunk, ids, ends, data in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                rep, _, _, doc = blocks(data, np.frombuffer(ends, "<i8"))
+                rep, _, _, doc = blocks(_text(data), np.frombuffer(ends, "<i8"))
                 owner = np.frombuffer(ids, "<i8")[doc]
                 order = np.lexsort((owner, rep))
                 rep, owner = rep[order], owner[order]
@@ -173,7 +179,9 @@ def _candidates(chunks: DataFrame, ranges: int) -> DataFrame:
             local.append(rep[np.unpackbits(np.frombuffer(many, np.uint8))[: len(rep)].astype(bool)])
         shared = np.union1d(family.shared(), np.concatenate(local))
         for chunk, rep, _ in rows:
-            mine = np.intersect1d(np.frombuffer(rep, np.uint64), shared, assume_unique=True)
+            rep = np.frombuffer(rep, np.uint64)
+            at = np.minimum(np.searchsorted(shared, rep), max(0, len(shared) - 1))
+            mine = rep[shared[at] == rep] if len(shared) else rep[:0]
             if len(mine):
                 yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([mine.tobytes()], pa.binary())], ["chunk", "shared"])
 
@@ -215,7 +223,7 @@ def _answers(joined: DataFrame, ranges: int) -> DataFrame:
     def send(batches):
         for batch in batches:
             for chunk, ids, ends, data, shared in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                rep, _, _, owner, number, contents = _shared_blocks(data, ends, ids, shared)
+                rep, _, _, owner, number, contents = _shared_blocks(_text(data), ends, ids, shared)
                 low, high = np.full(len(contents), _NULL_ID), np.full(len(contents), -(1 << 63))
                 np.minimum.at(low, number, owner)
                 np.maximum.at(high, number, owner)
@@ -226,7 +234,7 @@ def _answers(joined: DataFrame, ranges: int) -> DataFrame:
                 out = [[] for _ in range(7)]
                 for r, s in _split(of[order], ranges):
                     o = order[s]
-                    for column, v in zip(out, (r, chunk, of[o].tobytes(), o.tobytes(), np.concatenate([low[o], high[o]]).tobytes(), sizes[o].tobytes(), zstandard.compress(b"".join([contents[i] for i in o.tolist()]), 1)), strict=True):
+                    for column, v in zip(out, (r, chunk, of[o].tobytes(), zstandard.compress(o.astype(np.int32).tobytes()), zstandard.compress(np.concatenate([low[o], high[o] - low[o]]).tobytes()), zstandard.compress(sizes[o].astype(np.int32).tobytes()), zstandard.compress(b"".join([contents[i] for i in o.tolist()]), 1)), strict=True):
                         column.append(v)
                 kinds = [pa.int64(), pa.string(), *[pa.binary()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["range", "chunk", "rep", "number", "ids", "sizes", "contents"])
@@ -239,11 +247,11 @@ def _answers(joined: DataFrame, ranges: int) -> DataFrame:
                 where.append(np.full(n, len(chunks)))
                 chunks.append(chunk)
                 reps.append(np.frombuffer(rep, np.uint64))
-                numbers.append(np.frombuffer(number, np.int64))
-                both = np.frombuffer(ids, np.int64)
+                numbers.append(np.frombuffer(zstandard.decompress(number), np.int32))
+                both = np.frombuffer(zstandard.decompress(ids), np.int64)
                 lows.append(both[:n])
-                highs.append(both[n:])
-                cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.int64))]).tolist()
+                highs.append(both[n:] + both[:n])
+                cuts = np.concatenate([[0], np.cumsum(np.frombuffer(zstandard.decompress(sizes), np.int32), dtype=np.int64)]).tolist()
                 contents += [data[a:b] for a, b in zip(cuts, cuts[1:])]
         rep, number, low, high, where = map(np.concatenate, (reps, numbers, lows, highs, where))
         order = np.argsort(rep, kind="stable")
@@ -305,6 +313,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def cut(batches):
         for batch in batches:
             for _, ids, ends, data, shared, answers in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                data = _text(data)
                 edges = np.zeros(len(data) + 1, np.int64)
                 if answers:
                     _, at, n, owner, number, contents = _shared_blocks(data, ends, ids, shared)
