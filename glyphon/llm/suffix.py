@@ -308,7 +308,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         ranges = max(12, chunks.count() * 150_000 // PER_RANGE)
     shared = stash(_candidates(chunks, ranges).groupBy("chunk").agg(F.collect_list("shared").alias("shared")), "candidates")
     joined = chunks.join(shared, "chunk").select("chunk", "ids", "ends", "data", "shared")
-    answers = stash(_answers(joined, ranges).groupBy("chunk").agg(F.collect_list("answer").alias("answers")), "answers")
+    answers = stash(_answers(joined, 4 * ranges).groupBy("chunk").agg(F.collect_list("answer").alias("answers")), "answers")
 
     def cut(batches):
         for batch in batches:
