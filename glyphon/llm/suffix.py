@@ -148,8 +148,10 @@ def _range_of(values: np.ndarray, ranges: int) -> np.ndarray:
 
 def _split(values: np.ndarray, ranges: int):
     """(range, slice) of a sorted array."""
+    if not len(values):
+        return
     r = _range_of(values, ranges)
-    cuts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else []
+    cuts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
     for a, b in zip(cuts, [*cuts[1:], len(r)], strict=True):
         yield int(r[a]), slice(a, b)
 
