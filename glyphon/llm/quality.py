@@ -101,7 +101,9 @@ def fit_log_ratio(docs: DataFrame, labels: DataFrame, bins: int = BINS, trusted_
         raw[r["bin"]], target[r["bin"]] = r["raw"], r["target"]
     if not target.sum():
         return np.zeros(bins)
-    return np.log((target + 1) / (target.sum() + bins)) - np.log((raw + 1) / (raw.sum() + bins))
+    # the raw corpus is the trusted side's prior, with the weight of one n-gram a bin
+    base = (raw + 1) / (raw.sum() + bins)
+    return np.log((target + bins * base) / (target.sum() + bins)) - np.log(base)
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, bins: int = BINS, trusted_limit: int = TRUSTED_LIMIT) -> DataFrame:
