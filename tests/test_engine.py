@@ -26,7 +26,7 @@ PIECES = [("", []), ("hello", [1]), ("HELLO World!", [1, 2, 3]), ("unaffable", [
 
 
 def model_of(spark, t, vec=None):
-    rows = [(x, i, t.float(t.scores[i]) if t.scores else None, None, i) for x, i in t.vocab.items()]
+    rows = [(x, i, float(t.scores[i]) if t.scores else None, None, i) for x, i in t.vocab.items()]
     vectors = spark.createDataFrame([(i, v) for i, v in enumerate(vec or [[1.0, 0.0]] * len(rows))], "row_id int, vec array<float>")
     return Model(t, spark.createDataFrame(rows, VOCAB_SCHEMA), vectors, 2)
 
