@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from glyphon.llm.common import pack, stash, unpack
 from glyphon.llm.decontam import drop_leaks
 from glyphon.llm.lines import fuzzy_line_dedup
+from glyphon.llm.nearcopies import near_copy_components
 from glyphon.llm.packing import packed_documents
 from glyphon.llm.quality import quality_verdicts
-from glyphon.llm.simhash import simhash_components
 
-#: Words in a shingle of the near-duplicate stage.
-SHINGLE = 5
+#: Words in a shingle of the near-copy stage, and the Jaccard similarity of near copies.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +38,10 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest id."""
+    """One document of each group of near copies (similarity 0.8 or more): the one of the smallest id."""
     unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)
     keyed = docs.select(F.coalesce(F.col("doc_id"), unnamed).alias("doc_id"), "text")
-    kept = simhash_components(keyed, shingle=SHINGLE).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    kept = near_copy_components(keyed, SHINGLE, SIMILARITY).where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
     rows = pack(docs).withColumn("_th", F.xxhash64(F.col("_row")["text"]))
     rows = rows.withColumn("_key", F.coalesce(F.col("_row")["doc_id"], F.col("_th").bitwiseAND(F.lit((1 << 61) - 1)) + F.lit(1 << 62)))
     rows = rows.join(kept, "_key", "left_semi")

@@ -229,3 +229,36 @@ def test_chat(spark):
     assert r["formatted"] == "<|turn|>user<|body|>see <|image:1|><|audio:2|><|end|>" and r["expanded_tokens"] == 585
     assert [(a["ref"], a["tokens"]) for a in r["attachments"]] == [("a.png", 576), ("b.wav", 9)]
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_near_copies_equal_brute_force(spark):
+    import corpus_pipeline
+    from glyphon.llm import nearcopies
+
+    rng = np.random.default_rng(8)
+    rows, n = [], 0
+    for _ in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 400, rng.integers(30, 200))]
+        rows.append((n, " ".join(words)))
+        for edits in (0, 1, 2, 3, 5):
+            copy = list(words)
+            for at in rng.integers(0, len(copy), edits):
+                copy[at] = f"v{rng.integers(0, 400)}"
+            rows.append((n + 1 + edits, " ".join(copy).upper() if edits == 0 else " ".join(copy)))
+        n += 10
+    rows += [(n, ""), (n + 1, None), (n + 2, "short"), (n + 3, "Short")]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").lower().split() for _, t in rows)]
+    root = list(range(len(rows)))
+    close = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            common, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            if common >= 0.8 * either:
+                close += 0 < common < either
+                root = [root[b] if r == root[a] else r for r in root]
+    want = {d: min(rows[k][0] for k in range(len(rows)) if root[k] == root[j]) for j, (d, _) in enumerate(rows)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copy_components(df).collect()}
+    assert close > 50 and got == want
+    assert {r["doc_id"] for r in corpus_pipeline.dedup_near_copies(spark, df, "").collect()} == set(want.values())
+    assert nearcopies.near_copy_components(df.limit(0)).count() == 0
