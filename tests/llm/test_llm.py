@@ -262,3 +262,21 @@ def test_near_copies_equal_brute_force(spark):
     assert close > 50 and got == want
     assert {r["doc_id"] for r in corpus_pipeline.dedup_near_copies(spark, df, "").collect()} == set(want.values())
     assert nearcopies.near_copy_components(df.limit(0)).count() == 0
+
+
+def test_lines_with_a_changed_word_are_found(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 9))) for _ in range(2000)]
+    rows = []
+    for k in range(120):
+        words = [vocabulary[i] for i in rng.integers(0, 2000, (8, 25, 50, 70)[k % 4])]
+        copy = list(words)
+        at = min(range(len(words)), key=lambda i: len(words[i]) if k % 4 == 0 else rng.random())
+        copy[at] = "other"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    for k in range(240, 250, 2):  # long lines, one with more in front
+        long = " ".join(vocabulary[i] for i in rng.integers(0, 2000, 400))
+        rows += [(k, long), (k + 1, "sixty characters or so that were put in front of it " + long)]
+    got = {r["doc_id"]: r["n_removed"] for r in lines.fuzzy_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(got[d] for d in got if d % 2 == 0)
+    assert sum(got[d] for d in got if d % 2) >= 0.95 * len(rows) / 2 and all(got[d] for d in got if d % 2 and d > 240)
