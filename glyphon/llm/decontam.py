@@ -1,6 +1,8 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Items are cut into pieces of about ``PIECE`` characters. A piece of n characters and a
+Items are cut into pieces of ``PIECE`` characters, begun ``STRIDE`` characters apart, so
+that every passage of ``PIECE + STRIDE - 1`` characters of an item holds a whole piece;
+an item of up to ``PIECE`` characters is one piece. A piece of n characters and a
 stretch of text within k edits of it share at least n - q + 1 - q * k of their q-grams,
 on diagonals that lie within k of each other. Shared q-grams are counted in diagonal
 bands that overlap by half, bands that reach the bound are kept, and a banded alignment
@@ -10,8 +12,8 @@ Texts are compared by letters and digits, lower-cased, with anything else as one
 The benchmark is taken to the executors in blocks of a bounded number of characters, one
 pass over the texts for each.
 
-Cases: a null or empty text or item matches nothing; items of fewer than ``MIN_ITEM``
-characters say too little and are left out; null ids are carried as they are; repeated
+Cases: a null or empty text or item matches nothing; items of fewer than ``Q`` characters
+hold no q-gram, and are looked up as they are, between spaces or ends; null ids are carried as they are; repeated
 rows give repeated rows; empty tables give an empty result; ``drop_leaks`` carries all
 input columns.
 """
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, pack, unpack
 
-Q, PIECE, MIN_ITEM = 12, 100, 40
+Q, PIECE, STRIDE = 12, 60, 30
 #: Edits allowed for each character of a piece.
 EDIT_RATE = 0.05
 #: Characters of benchmark that go to the executors at once, and of text looked at together.
@@ -105,13 +107,17 @@ class LeakFinder:
     def __init__(self, items: list[tuple[object, str]]):
         self.pieces: list[np.ndarray] = []
         self.item: list[tuple[object, int]] = []
+        self.short: list[tuple[object, str]] = []
         grams, piece_of, place = [], [], []
         for item, text in items:
             folded, _ = normalised((text or "").strip())
-            if len(folded) < MIN_ITEM:
+            if len(folded) < Q:
+                if (folded != 32).any():
+                    self.short.append((item, f" {''.join(map(chr, folded)).strip()} "))
                 continue
-            cuts = np.linspace(0, len(folded), max(1, len(folded) // PIECE) + 1).astype(int)
-            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            starts = [*range(0, max(1, len(folded) - PIECE), STRIDE), max(0, len(folded) - PIECE)]
+            cuts = sorted({(a, min(a + PIECE, len(folded))) for a in starts})
+            for k, (a, b) in enumerate(cuts):
                 g = qgrams(folded[a:b])
                 grams.append(g)
                 piece_of.append(np.full(len(g), len(self.pieces)))
@@ -119,7 +125,8 @@ class LeakFinder:
                 self.pieces.append(folded[a:b])
                 self.item.append((item, k))
         lengths = np.array([len(p) for p in self.pieces], np.int64)
-        self.budget = (lengths * EDIT_RATE).astype(np.int64)
+        # no more edits than the lemma bears, which matters for items shorter than a piece
+        self.budget = np.minimum((lengths * EDIT_RATE).astype(np.int64), (lengths - Q) // Q)
         self.bound = np.maximum(1, lengths - Q + 1 - Q * self.budget)
         g = np.concatenate([*grams, np.zeros(0, np.uint64)])
         order = np.argsort(g, kind="stable")
@@ -140,10 +147,29 @@ class LeakFinder:
                 begin, size = k + 1, 0
         return out + self._strip(texts[begin:], begin)
 
+    def _short(self, parts, base):
+        """Items without a q-gram, where they stand as they are."""
+        out = []
+        for row, (folded, places) in enumerate(parts):
+            text = f" {folded.astype('<u4').tobytes().decode('utf-32-le', 'surrogatepass')} "
+            for item, part in self.short:
+                at = text.find(part)
+                while at >= 0:
+                    out.append((base + row, item, 0, int(places[at]), int(places[at + len(part) - 3]) + 1, 0))
+                    at = text.find(part, at + 1)
+        return out
+
     def _strip(self, texts, base):
-        if not texts or not len(self.grams):
+        if not texts or not (len(self.grams) or self.short):
             return []
         parts = [normalised(t or "") for t in texts]
+        if self.short:
+            return self._short(parts, base) + self._long(texts, parts, base)
+        return self._long(texts, parts, base)
+
+    def _long(self, texts, parts, base):
+        if not len(self.grams):
+            return []
         ends = np.cumsum([len(f) for f, _ in parts])
         whole = np.concatenate([f for f, _ in parts])
         g = qgrams(whole)

@@ -280,3 +280,15 @@ def test_lines_with_a_changed_word_are_found(spark):
     got = {r["doc_id"]: r["n_removed"] for r in lines.fuzzy_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert not any(got[d] for d in got if d % 2 == 0)
     assert sum(got[d] for d in got if d % 2) >= 0.95 * len(rows) / 2 and all(got[d] for d in got if d % 2 and d > 240)
+
+
+def test_parts_of_items_and_short_items_are_found():
+    words = [f"{w}{k}" for k in range(20) for w in ("alpha", "beta", "gamma")]
+    item = " ".join(words)
+    finder = decontam.LeakFinder([(1, item), (2, "Nine lives of a cat"), (3, "o-k.")])
+    least = decontam.PIECE + decontam.STRIDE - 1
+    filler = "unlike text around it "
+    for at in range(len(item) - least + 1):
+        assert finder.find([filler + item[at : at + least] + filler]), at
+    found = {(r, i): (a, z) for r, i, _, a, z, _ in finder.find(["nine lives, of a cat!", "it is O K now", "book", "nine lives of a dog", None])}
+    assert found == {(0, 2): (0, 20), (1, 3): (6, 9)}
