@@ -282,6 +282,13 @@ def test_lines_with_a_changed_word_are_found(spark):
     assert sum(got[d] for d in got if d % 2) >= 0.95 * len(rows) / 2 and all(got[d] for d in got if d % 2 and d > 240)
 
 
+def test_short_and_unspaced_lines_go(spark):
+    unspaced = "".join(chr(0x4E00 + x) for x in np.random.default_rng(10).integers(0, 3000, 60))
+    rows = [(0, f"Read more\n\n{unspaced}\nshort"), (1, f"read more\t\n\n{unspaced}\nlonger"), (2, f"read\u00a0more\n{unspaced[:30]}字{unspaced[31:]}\nshorn")]
+    got = {r["doc_id"]: r["text"] for r in lines.fuzzy_line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: rows[0][1], 1: "\nlonger", 2: "shorn"}
+
+
 def test_parts_of_items_and_short_items_are_found():
     words = [f"{w}{k}" for k in range(20) for w in ("alpha", "beta", "gamma")]
     item = " ".join(words)
