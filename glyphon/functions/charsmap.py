@@ -8,21 +8,22 @@ import struct
 import regex
 
 
-def decode_charsmap(encoded: str) -> dict[str, str]:
-    """{key: replacement} of all keys that a lookup can reach.
+def decode_charsmap(encoded: str) -> dict[bytes, bytes]:
+    """{key: replacement} of all keys that a lookup can reach, as bytes.
 
     The blob: the trie's size, its 32-bit units, and a pool of NUL-ended replacements. A
-    lookup stops at the first key it meets, so keys behind a shorter key are left out.
+    lookup stops at the first key it meets, so keys behind a shorter key are left out,
+    whether or not that key is whole UTF-8. A value at the pool's end is a deletion.
     """
     blob = base64.b64decode(encoded)
     if len(blob) < 4:
         raise ValueError("charsmap too short")
     size = struct.unpack_from("<I", blob)[0]
-    if size % 4 or 4 + size > len(blob):
+    if 4 + size > len(blob):
         raise ValueError("charsmap trie larger than the data")
     units, pool = struct.unpack_from(f"<{size // 4}I", blob, 4), blob[4 + size :]
     offset = lambda u: (u >> 10) << ((u & 0x200) >> 6)
-    out: dict[str, str] = {}
+    out: dict[bytes, bytes] = {}
     stack = [(offset(units[0]), b"")] if units else []
     while stack:
         base, key = stack.pop()
@@ -31,39 +32,34 @@ def decode_charsmap(encoded: str) -> dict[str, str]:
             if at >= len(units) or units[at] & 0x800000FF != byte:
                 continue
             below, now = at ^ offset(units[at]), key + bytes([byte])
-            if units[at] & 0x100:
-                value = units[below] & 0x7FFFFFFF if below < len(units) else len(pool)
-                if value < len(pool):
-                    try:
-                        out[now.decode()] = pool[value : pool.index(b"\0", value) if b"\0" in pool[value:] else len(pool)].decode()
-                    except UnicodeDecodeError:
-                        pass
-            else:
+            if not units[at] & 0x100:
                 stack.append((below, now))
+            elif below < len(units) and (value := units[below] & 0x7FFFFFFF) <= len(pool):
+                out[now] = pool[value:].partition(b"\0")[0]
     return out
 
 
-def lookup(keys: dict[str, str], longest: int, text: str) -> str | None:
+def lookup(keys: dict[bytes, bytes], longest: int, text: bytes) -> bytes | None:
     """The replacement of the shortest key that ``text`` begins with."""
     for n in range(1, min(longest, len(text)) + 1):
-        if text[n - 1] == "\0":
+        if text[n - 1] == 0:
             return None
         if (found := keys.get(text[:n])) is not None:
             return found
     return None
 
 
-def normalize(keys: dict[str, str], text: str) -> str:
-    """By grapheme cluster: one of under six bytes that begins with a key is replaced as a
-    whole; in any other, each code point that is a key by itself."""
+def normalizer(keys: dict[bytes, bytes]):
+    """text -> text by grapheme cluster: one of under six bytes that begins with a key is
+    replaced as a whole; in any other, each code point that begins with one."""
     longest = max(map(len, keys), default=0)
-    out = []
-    for cluster in regex.findall(r"\X", text):
-        found = lookup(keys, longest, cluster) if len(cluster.encode()) < 6 else None
+
+    def cluster(part: str) -> bytes:
+        data = part.encode()
+        found = lookup(keys, longest, data) if len(data) < 6 else None
         if found is not None:
-            out.append(found)
-        else:
-            for ch in cluster:
-                one = lookup(keys, longest, ch)
-                out.append(ch if one is None else one)
-    return "".join(out)
+            return found
+        ones = [ch.encode() for ch in part]
+        return b"".join([x if (one := lookup(keys, longest, x)) is None else one for x in ones])
+
+    return lambda text: b"".join(map(cluster, regex.findall(r"\X", text))).decode("utf-8", "replace")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import cached_property
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,17 +15,24 @@ from glyphon.shipping import ship
 
 from . import chars
 
-_WS = chars.java_class(chars.WHITE_SPACE)
+_WS = chars.JAVA_SPACE
+_PLAIN_SPACES = "\t\n\r"
+_PLAIN_CONTROL = "".join(chr(x) for x in (*range(32), 127) if chr(x) not in _PLAIN_SPACES)
 
 
 def clean_text(c: Column) -> Column:
-    """Drop control characters first, then make any white space a plain space."""
-    dropped = F.regexp_replace(F.make_valid_utf8(c), f"[{chars.java_class(chars.control())}]", "")
-    return F.regexp_replace(dropped, f"[{_WS}]", " ")
+    """Drop control characters first, then make any white space a plain space.
+
+    ASCII texts take one pass over a table; only the others meet the Unicode classes.
+    """
+    # NUL can't stand in translate's table, which ends there
+    plain = F.translate(F.replace(c, F.lit("\0"), F.lit("")), _PLAIN_SPACES + _PLAIN_CONTROL[1:], " " * len(_PLAIN_SPACES))
+    dropped = F.regexp_replace(F.make_valid_utf8(c), f"[{chars.JAVA_CONTROL}]", "")
+    return F.when(is_ascii(c) & F.is_valid_utf8(c), plain).otherwise(F.regexp_replace(dropped, f"[{_WS}]", " "))
 
 
 def pad_cjk(c: Column) -> Column:
-    return F.regexp_replace(c, f"([{chars.java_class(chars.CJK)}])", " $1 ")
+    return F.when(is_ascii(c), c).otherwise(F.regexp_replace(c, f"([{chars.java_class(chars.CJK)}])", " $1 "))
 
 
 def trim_unicode(c: Column, left: bool = True, right: bool = True) -> Column:
@@ -46,11 +54,32 @@ def python_lower(text: str) -> str:
     return "".join([low if len(low := ch.lower()) == 1 else "i" if ch == "\u0130" else ch for ch in text])
 
 
+class _PerPoint(dict):
+    """A translate table that fills itself: code point -> what ``fn`` makes of its character."""
+
+    def __init__(self, fn):
+        super().__init__()
+        self.fn = fn
+
+    def __missing__(self, point: int) -> str:
+        self[point] = out = self.fn(chr(point))
+        return out
+
+
+def _bare(ch: str) -> str:
+    return _MARKS.sub("", unicodedata.normalize("NFD", ch))
+
+
 _MARKS = re.compile(f"[{chars.python_class(chars.marks())}]")
+_BARE = _PerPoint(_bare)
+#: Characters that decomposition may put in another order and that aren't dropped; texts with one are decomposed whole.
+_MOVED = re.compile(f"[{chars.python_class(chars.moved())}]")
 
 
 def python_strip_accents(text: str) -> str:
-    return text if text.isascii() else _MARKS.sub("", unicodedata.normalize("NFD", text))
+    if text.isascii():
+        return text
+    return _bare(text) if _MOVED.search(text) else text.translate(_BARE)
 
 
 def _strip_accents(texts: pd.Series) -> pd.Series:
@@ -93,36 +122,59 @@ class BertNormalizer:
         return easy.unionByName(out.where(~plain).withColumn(target, last(strip_accents(F.col(target)))))
 
     def python(self, text: str) -> str:
+        if text.isascii():
+            text = text.translate(_ASCII_CLEAN) if self.clean else text
+            return (text.lower() if self.lowercase else text).strip(_SPACES)
+        if self.strips and _MOVED.search(text):
+            text = _bare(self._clean(text))
+            return (python_lower(text) if self.lowercase else text).strip(_SPACES)
+        return text.translate(self._table).strip(_SPACES)
+
+    def _clean(self, text: str) -> str:
         if self.clean:
-            text = _CONTROL.sub("", text.replace("\ufffd", ""))
-            text = _SPACE.sub(" ", text)
-        if self.cjk:
-            text = _IDEOGRAPH.sub(r" \g<0> ", text)
-        if self.strips:
-            text = python_strip_accents(text)
-        if self.lowercase:
-            text = python_lower(text)
-        return _ENDS.sub("", text)
+            text = _SPACE.sub(" ", _CONTROL.sub("", text.replace("\ufffd", "")))
+        return _IDEOGRAPH.sub(r" \g<0> ", text) if self.cjk else text
+
+    @cached_property
+    def _table(self) -> _PerPoint:
+        """All steps of one code point: none but the order of marks looks further."""
 
+        def one(ch: str) -> str:
+            ch = self._clean(ch)
+            ch = _bare(ch) if self.strips else ch
+            return python_lower(ch) if self.lowercase else ch
 
+        return _PerPoint(one)
+
+
+_ASCII_CLEAN = {**dict.fromkeys(map(ord, _PLAIN_CONTROL)), **dict.fromkeys(map(ord, _PLAIN_SPACES), " ")}
 _PWS = chars.python_class(chars.WHITE_SPACE)
 _CONTROL = re.compile(f"[{chars.python_class(chars.control())}]")
 _SPACE = re.compile(f"[{_PWS}]")
 _IDEOGRAPH = re.compile(f"[{chars.python_class(chars.CJK)}]")
-_ENDS = re.compile(f"\\A[{_PWS}]+|[{_PWS}]+\\Z")
+_SPACES = "".join(chr(c) for a, b in chars.WHITE_SPACE for c in range(a, b + 1))
+#: What cleaning drops, or leaves in a word, but str.split would split at.
+SPLITS_ELSEWHERE = re.compile("[\x0b\x0c\x1c-\x1f\x85]")
 
 
 def pretokenize(c: Column) -> Column:
-    """Words; each punctuation character is a word of its own."""
-    p = chars.java_class(chars.punctuation())
-    return F.regexp_extract_all(c, F.lit(f"[{p}]|[^{_WS}{p}]+"), F.lit(0))
+    """Words; each punctuation character is a word of its own.
+
+    ASCII texts are cut by the ASCII classes. In the others, runs of ASCII letters and
+    digits are taken first, so few characters meet the Unicode classes.
+    """
+    a, p = chars.java_class(chars.ASCII_PUNCTUATION), chars.JAVA_PUNCTUATION
+    plain = F.regexp_extract_all(c, F.lit(rf"[^\x{{9}}-\x{{D}} {a}]++|[{a}]"), F.lit(0))
+    other = F.regexp_extract_all(c, F.lit(rf"(?:[a-zA-Z0-9]++|[^{_WS}{p}]++)++|[{p}]"), F.lit(0))
+    return F.when(is_ascii(c), plain).otherwise(other)
 
 
 _WORDS = re.compile(f"[{chars.python_class(chars.punctuation())}]|[^{_PWS}{chars.python_class(chars.punctuation())}]+")
+_ASCII_WORDS = re.compile(f"[{chars.python_class(chars.ASCII_PUNCTUATION)}]|[^\t-\r {chars.python_class(chars.ASCII_PUNCTUATION)}]+")
 
 
 def python_pretokenize(text: str) -> list[str]:
-    return _WORDS.findall(text)
+    return (_ASCII_WORDS if text.isascii() else _WORDS).findall(text)
 
 
 def replace_literal(c: Column, old: str, new: str) -> Column:

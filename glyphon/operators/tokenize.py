@@ -7,14 +7,17 @@ no shuffle and no state, so it also serves streams; both give the same ids.
 from __future__ import annotations
 
 import re
+import uuid
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from glyphon.functions.charsmap import decode_charsmap, normalize
+from glyphon.functions.charsmap import decode_charsmap, normalizer
 from glyphon.functions.chars import WHITE_SPACE, python_class
-from glyphon.functions.text import pretokenize, python_pretokenize
+from glyphon.functions.text import SPLITS_ELSEWHERE, pretokenize, python_pretokenize
 from glyphon.shipping import ship
 from glyphon.sources.model import Model, Tokenizer
 
@@ -77,7 +80,7 @@ def tokenize(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text
             for b in batches:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else local.prepared(x) for x in b.column(1).to_pylist()], pa.string())], ["key", "norm"])
 
-        norm = rows.mapInArrow(prepare, f"key {rows.schema['key'].dataType.simpleString()}, norm string")
+        norm = rows.mapInArrow(prepare, StructType([rows.schema["key"], StructField("norm", StringType())]))
         cut = F.regexp_extract_all(F.col("norm"), F.lit(f"{t.mark}?[^{t.mark}]*"), F.lit(0))
         units = norm.select("key", F.posexplode(F.filter(cut, lambda x: x != "")).alias("pos", "segment"))
 
@@ -97,7 +100,7 @@ class RowTokenizer:
     """Strategy B: one text at a time, in Python."""
 
     def __init__(self, t: Tokenizer):
-        self.t, self.memo = t, {}
+        self.t, self.memo = t, _Memo(self._chunk)
         self.longest = max(map(len, t.vocab), default=1)
         if t.family == "Unigram":
             self.low = min(t.scores)
@@ -122,8 +125,7 @@ class RowTokenizer:
             sides = [rf"\A{ws}+"] * bool(s.get("strip_left")) + [rf"{ws}+\Z"] * bool(s.get("strip_right"))
             pattern = re.compile("|".join(sides)) if sides else None
             return lambda x: pattern.sub("", x) if pattern else x
-        keys = decode_charsmap(s["precompiled_charsmap"])
-        return lambda x: normalize(keys, x)
+        return normalizer(decode_charsmap(s["precompiled_charsmap"]))
 
     def prepared(self, text: str) -> str:
         for step in self.steps:
@@ -178,43 +180,83 @@ class RowTokenizer:
         return out
 
     def _word(self, word: str) -> list[int]:
-        if word not in self.memo:
-            ids, start = [], 0
-            while start < len(word) <= self.t.max_chars:
-                for end in range(min(len(word), start + self.longest), start, -1):
-                    i = self.t.vocab.get(("##" if start else "") + word[start:end])
-                    if i is not None:
-                        ids.append(i)
-                        start = end
-                        break
-                else:
+        ids, start = [], 0
+        while start < len(word) <= self.t.max_chars:
+            for end in range(min(len(word), start + self.longest), start, -1):
+                i = self.t.vocab.get(("##" if start else "") + word[start:end])
+                if i is not None:
+                    ids.append(i)
+                    start = end
                     break
-            if start < len(word):
-                if self.t.unk_id < 0:
-                    raise ValueError(f"cannot tokenize word {word}")
-                ids = []
-            if len(self.memo) > 500_000:
-                self.memo.clear()
-            self.memo[word] = ids
-        return self.memo[word]
+            else:
+                break
+        if start < len(word):
+            if self.t.unk_id < 0:
+                raise ValueError(f"cannot tokenize word {word}")
+            return []
+        return ids
 
     def tokens(self, text: str) -> list[int]:
         if self.t.family == "Unigram":
             return self.ids(self.prepared(text))
+        if SPLITS_ELSEWHERE.search(text):
+            return self._chunk(text)
+        return list(chain.from_iterable(map(self.memo.__getitem__, text.split())))
+
+    def _chunk(self, text: str) -> list[int]:
+        """Ids of a stretch of text between white space, which no step looks beyond, or of a whole text."""
         return [i for w in python_pretokenize(self.t.normalizer.python(text)) for i in self._word(w)]
 
 
+class _Memo(dict):
+    """Ids of the raw chunks met so far, bounded in number; long ones aren't kept, so it is bounded in bytes too."""
+
+    MOST, LONGEST = 400_000, 32
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of = ids_of
+
+    def __missing__(self, word: str) -> list[int]:
+        ids = self.ids_of(word)
+        if len(word) <= self.LONGEST:
+            if len(self) >= self.MOST:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
+_LOCAL: dict[str, object] = {}
+
+
+def in_worker(name: str, make):
+    """``make()`` once in each worker process for ``name``, a random name that travels with a broadcast."""
+    if name not in _LOCAL:
+        if len(_LOCAL) >= 8:
+            _LOCAL.clear()
+        _LOCAL[name] = make()
+    return _LOCAL[name]
+
+
+def named(what, key):
+    """What ``what()`` returns; its errors say which document they are about."""
+    try:
+        return what()
+    except ValueError as e:
+        raise ValueError(f"document {key!r}: {e}") from e
+
+
 def tokenize_rows(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, tokens): strategy B, for batches and streams alike."""
     ship(df.sparkSession)
-    t = model.tokenizer
-    kind = df.schema[key].dataType.simpleString()
+    sent = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, model.tokenizer))
 
     def encode(batches):
-        local = RowTokenizer(t)
-        local.memo = {}
+        name, t = sent.value
+        local = in_worker(name, lambda: RowTokenizer(t))
         for b in batches:
-            ids = [None if x is None else local.tokens(x) for x in b.column(1).to_pylist()]
+            keys = b.column(0).to_pylist()
+            ids = [None if x is None else named(lambda: local.tokens(x), k) for k, x in zip(keys, b.column(1).to_pylist(), strict=True)]  # noqa: B023
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], [key, "tokens"])
 
-    return df.select(key, text).mapInArrow(encode, f"`{key}` {kind}, tokens array<int>")
+    return df.select(key, text).mapInArrow(encode, StructType([df.schema[key], StructField("tokens", ArrayType(IntegerType()))]))

@@ -19,8 +19,14 @@ PROBES = [
 ]
 
 
+#: Bytes of input up to which rows are dealt out anew: a small file may be one row group, thus one task.
+SMALL_INPUT = 1 << 30
+
+
 def _docs(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return docs.repartition(2 * spark.sparkContext.defaultParallelism) if size <= SMALL_INPUT else docs
 
 
 def _probes(spark):

@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphon.functions.text import BertNormalizer
+from glyphon.functions.text import BertNormalizer, pretokenize
 
 # The model kinds, their dimensions and tokenizer families.
 MODELS = [
@@ -44,10 +46,12 @@ def model_dir(kind: str, root: str | None = None) -> str:
     return os.path.join(root, kind.lower())
 
 
-def read_tensors(data: bytes) -> dict[str, np.ndarray]:
+def read_tensors(data) -> dict[str, np.ndarray]:
     """embeddings as float32 (from F32 or F16), optional weights (F64) and mapping (I64)."""
-    size = int.from_bytes(data[:8], "little")
-    header, out = json.loads(data[8 : 8 + size]), {}
+    size = int.from_bytes(bytes(data[:8]), "little")
+    if len(data) < 8 + size:
+        raise ValueError("the tensor file ends within its header")
+    header, out = json.loads(bytes(data[8 : 8 + size])), {}
     for name, kinds in _DTYPES.items():
         if name not in header:
             continue
@@ -55,8 +59,10 @@ def read_tensors(data: bytes) -> dict[str, np.ndarray]:
         if t["dtype"] not in kinds:
             raise ValueError(f"unsupported tensor dtype {t['dtype']} of {name}")
         a, b = t["data_offsets"]
+        if 8 + size + b > len(data):
+            raise ValueError(f"the tensor file ends within {name}")
         x = np.frombuffer(data[8 + size + a : 8 + size + b], kinds[t["dtype"]]).reshape(t["shape"])
-        out[name] = x.astype(np.float32) if name == "embeddings" else x
+        out[name] = x.astype(np.float32, copy=False) if name == "embeddings" else x
     if "embeddings" not in out:
         raise ValueError("tensor embeddings is missing")
     return out
@@ -132,6 +138,30 @@ class Model:
     vectors: DataFrame
     dimensions: int
     weighted: bool = False
+    _table: tuple | None = field(default=None, repr=False)
+
+    def matrix_bytes(self) -> int:
+        """What the matrix takes as 32-bit numbers; each entry of the vocabulary has a row."""
+        return 4 * self.dimensions * len(self.tokenizer.vocab)
+
+    def table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(matrix, row of each token id, weight of each token id) for pooling in place; for
+        models of a checked size. Rows come over as Arrow columns, and are kept with the model."""
+        if self._table is None:
+            vectors, vocab = self.vectors.select("row_id", "vec").toArrow(), self.vocab.select("token_id", "row_id", "weight").toArrow()
+            rows, cells = vectors["row_id"].to_numpy(), vectors["vec"].combine_chunks()
+            flat = (cells if isinstance(cells, pa.ListArray) else pa.concat_arrays(cells.chunks)).flatten().to_numpy().astype(np.float32)
+            matrix = np.zeros((int(rows.max()) + 1 if len(rows) else 1, self.dimensions), np.float32)
+            matrix[rows] = flat.reshape(len(rows), self.dimensions)
+            ids = vocab["token_id"].to_numpy()
+            row = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int64)
+            row[ids] = vocab["row_id"].to_numpy()
+            weight = None
+            if self.weighted:
+                weight = np.ones(len(row))
+                weight[ids] = vocab["weight"].to_numpy()
+            self._table = matrix, row, weight
+        return self._table
 
     def check(self) -> Model:
         missing = self.vocab.join(self.vectors, "row_id", "left_anti").limit(1).collect()
@@ -140,17 +170,88 @@ class Model:
         return self
 
 
+FILES = ("tokenizer.json", "model.safetensors")
+
+
+def ensure_files(kind: str, fetch, root: str | None = None) -> str:
+    """The folder of a kind's files, each of which ``fetch(kind, name)`` (an iterator of
+    bytes) is asked for only if it is missing.
+
+    A file appears under its name only once it is whole: it is written beside it under a
+    name of its own, then renamed; a fetch that fails leaves nothing behind.
+    """
+    folder = model_dir(kind, root)
+    os.makedirs(folder, exist_ok=True)
+    for name in FILES:
+        if os.path.exists(path := os.path.join(folder, name)):
+            continue
+        part = f"{path}.{uuid.uuid4().hex}.part"
+        try:
+            with open(part, "wb") as f:
+                for block in fetch(kind, name):
+                    f.write(block)
+                f.flush()
+                os.fsync(f.fileno())
+            os.replace(part, path)
+        except BaseException:
+            if os.path.exists(part):
+                os.remove(part)
+            raise
+    return folder
+
+
+def _read(spark: SparkSession, path: str):
+    """A file's bytes: mapped if it is local, through Spark's readers in any other store."""
+    if "://" not in path:
+        if not os.path.exists(path):
+            raise FileNotFoundError(f"model file {path} is missing")
+        return np.memmap(path, np.uint8, "r")
+    return spark.read.format("binaryFile").load(path).first()["content"]
+
+
 def load_model(spark: SparkSession, path: str) -> Model:
-    """Read ``tokenizer.json`` and ``model.safetensors`` below ``path`` into tables."""
-    files = {os.path.basename(r["path"]): bytes(r["content"]) for r in spark.read.format("binaryFile").load([f"{path}/tokenizer.json", f"{path}/model.safetensors"]).collect()}
-    tokenizer, tensors = read_tokenizer(files["tokenizer.json"].decode()), read_tensors(files["model.safetensors"])
+    """Read ``tokenizer.json`` and ``model.safetensors`` below ``path`` into tables, by Arrow."""
+    text, data = (_read(spark, f"{path}/{name}") for name in FILES)
+    tokenizer, tensors = read_tokenizer(bytes(text).decode()), read_tensors(data)
     matrix, weights, mapping = tensors["embeddings"], tensors.get("weights"), tensors.get("mapping")
-    rows = [(t, i, tokenizer.scores[i] if tokenizer.scores else None, float(weights[i]) if weights is not None else None, int(mapping[i]) if mapping is not None else i) for t, i in sorted(tokenizer.vocab.items(), key=lambda x: x[1])]
-    vectors = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(matrix)], "row_id int, vec array<float>")
-    return Model(tokenizer, spark.createDataFrame(rows, VOCAB_SCHEMA), vectors, matrix.shape[1], weights is not None).check()
+    by_id = sorted(tokenizer.vocab.items(), key=lambda x: x[1])
+    for t, i in by_id:
+        if mapping is not None and i >= len(mapping) or not 0 <= (row := int(mapping[i]) if mapping is not None else i) < len(matrix):
+            raise ValueError(f"token {t!r} has no vector")
+        if weights is not None and i >= len(weights):
+            raise ValueError(f"token {t!r} has no weight")
+    ids = np.array([i for _, i in by_id], np.int32)
+    none = pa.nulls(len(ids), pa.float64())
+    columns = {
+        "token": pa.array([t for t, _ in by_id], pa.string()),
+        "token_id": pa.array(ids),
+        "score": pa.array([tokenizer.scores[i] for i in ids.tolist()], pa.float64()) if tokenizer.scores else none,
+        "weight": none if weights is None else pa.array(np.asarray(weights)[ids]),
+        "row_id": pa.array(ids if mapping is None else np.asarray(mapping)[ids].astype(np.int32)),
+    }
+    cells = pa.ListArray.from_arrays(pa.array(np.arange(len(matrix) + 1, dtype=np.int32) * matrix.shape[1]), pa.array(matrix.ravel()))
+    vectors = spark.createDataFrame(pa.table({"row_id": pa.array(np.arange(len(matrix), dtype=np.int32)), "vec": cells}), "row_id int, vec array<float>")
+    row, weight = np.zeros(int(ids.max()) + 1, np.int64), None
+    row[ids] = columns["row_id"].to_numpy()
+    if weights is not None:
+        weight = np.ones(len(row))
+        weight[ids] = np.asarray(weights)[ids]
+    return Model(tokenizer, spark.createDataFrame(pa.table(columns), VOCAB_SCHEMA), vectors, matrix.shape[1], weights is not None, _table=(matrix, row, weight))
+
+
+#: Demo models by application, folder and kind: made of a folder's tables once, like a load.
+_DEMOS: dict[tuple, Model] = {}
 
 
 def demo_model(spark: SparkSession, sf_dir: str, weighted: bool = False, mapped: bool = False) -> Model:
+    """The demo model of a folder, made once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, weighted, mapped)
+    if key not in _DEMOS:
+        _DEMOS[key] = make_demo_model(spark, sf_dir, weighted, mapped)
+    return _DEMOS[key]
+
+
+def make_demo_model(spark: SparkSession, sf_dir: str, weighted: bool = False, mapped: bool = False) -> Model:
     """Made of the test tables: it shows the mechanics, not the quality of embeddings.
 
     Token 0 is [UNK], then a to z, their continuations, and the most frequent words of
@@ -159,13 +260,12 @@ def demo_model(spark: SparkSession, sf_dir: str, weighted: bool = False, mapped:
     emb = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     n = emb.count()
     flags = BertNormalizer()
-    docs = flags.apply(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text"), "text", "norm")
-    from glyphon.functions.text import pretokenize
-
+    docs = flags.apply(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").repartition(spark.sparkContext.defaultParallelism), "text", "norm")
     letters = [chr(97 + i) for i in range(26)]
     words = docs.select(F.explode(pretokenize(F.col("norm"))).alias("w")).groupBy("w").count().where(~F.col("w").rlike("^[a-z]$"))
     top = [r["w"] for r in words.orderBy(F.desc("count"), "w").limit(n - 53).collect()]
     tokens = ["[UNK]", *letters, *[f"##{x}" for x in letters], *top]
+    # the limit is the size of the demo vocabulary
     rows = [(t, i, None, 1.0 / (1 + i % 7) if weighted else None, (len(tokens) - 1 - i) if mapped else i) for i, t in enumerate(tokens)]
     vectors = emb.select(F.col("vec_id").cast("int").alias("row_id"), F.col("embedding").alias("vec"))
     return Model(Tokenizer("WordPiece", vocab={t: i for i, t in enumerate(tokens)}, unk_id=0, normalizer=flags), spark.createDataFrame(rows, VOCAB_SCHEMA), vectors, 64, weighted)
