@@ -135,11 +135,12 @@ def spanning_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndar
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def block_masks(n: int, radius: int) -> list[int]:
-    """Bit masks of the choices of blocks: as many bits as it takes to tell n fingerprints apart."""
+def block_masks(n: int, radius: int, slack: int = 0) -> list[int]:
+    """Bit masks of the choices of blocks: as many bits as it takes to tell n fingerprints
+    apart, and ``slack`` more, so that few of them meet by chance."""
     for m in range(radius + 1, 65):
         widths = [64 * (k + 1) // m - 64 * k // m for k in range(m)]
-        if sum(sorted(widths)[: m - radius]) >= min(n.bit_length(), 40) or m == radius + 6:
+        if sum(sorted(widths)[: m - radius]) >= min(n.bit_length() + slack, 40 + slack) or m == radius + 6:
             break
     edges = np.concatenate([[0], np.cumsum(widths)]).tolist()
     blocks = [((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in range(m)]
