@@ -7,9 +7,13 @@ the number of tokens it expands to are recorded. Turns are marked
     <|turn|>ROLE<|body|>TEXT<|end|>
 
 and control strings inside roles and texts get a backslash after their first
-character (one more if they have some), which is undone on the way back.
+character (one more if they have some), which is undone on the way back. The texts of
+neighbouring parts are escaped together, so none can be pieced together from two parts.
+A text that looks like a placeholder is escaped like a control string, so ``parse_parts``
+tells the two apart.
 
-Cases: a null text is empty, a null role or part type is empty or text; turns that tie
+Cases: a null text is empty, a null role or part type is empty or text; an unknown part
+type is an error; turns that tie
 are ordered by role, then text; repeated rows are repeated turns; a null conversation
 id is one conversation; an empty table gives an empty one; further input columns are
 not carried. A formatted conversation is one value, so it must fit one row.
@@ -26,6 +30,11 @@ _CONTROL = r"(\||/?s>|/?INST\]|</?SYS>>)"
 PART_TOKENS = {"image": 576, "audio": 375, "document": 1024}
 
 
+def known(kind: Column) -> Column:
+    """A part's type, or an error if it isn't one of ``PART_TOKENS``, so that no type can forge a control string."""
+    return F.when(kind.isin(*PART_TOKENS), kind).otherwise(F.raise_error(F.concat(F.lit("unknown part type "), kind)).cast("string"))
+
+
 def escape(c: Column) -> Column:
     return F.regexp_replace(c, F.lit(r"([<\[])(\\*)" + _CONTROL), F.lit(r"$1\\$2$3"))
 
@@ -46,7 +55,16 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     of ``formatted`` that hold the ``loss_role``'s texts, which are escaped there.
     """
     kind = lambda p: F.coalesce(p["type"], F.lit("text"))
-    body = F.array_join(F.transform(F.col(parts), lambda p, i: F.when(kind(p) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(F.concat(F.lit("<|"), kind(p), F.lit(":"), i.cast("string"), F.lit("|>")))), "")
+    # neighbouring texts are joined before they are escaped, or a control string could be made of two of them
+    hold = lambda done, text: F.struct(done.alias("done"), text.alias("text"))
+    shut = lambda a: F.concat(a["done"], escape(a["text"]))
+
+    def step(a: Column, x: Column) -> Column:
+        mark = F.concat(F.lit("<|"), known(kind(x["p"])), F.lit(":"), x["i"].cast("string"), F.lit("|>"))
+        return F.when(kind(x["p"]) == "text", hold(a["done"], F.concat(a["text"], F.coalesce(x["p"]["text"], F.lit(""))))).otherwise(hold(F.concat(shut(a), mark), F.lit("")))
+
+    numbered = F.transform(F.col(parts), lambda p, i: F.struct(p.alias("p"), i.alias("i")))
+    body = F.aggregate(numbered, hold(F.lit(""), F.lit("")), step, shut)
     tokens = lambda p: F.coalesce(p["tokens"], *[F.when(kind(p) == k, n) for k, n in PART_TOKENS.items()], F.lit(0)).cast("long")
     found = F.filter(F.transform(F.col(parts), lambda p, i: F.struct(i.alias("part"), kind(p).alias("type"), p["ref"].alias("ref"), tokens(p).alias("tokens"))), lambda a: a["type"] != "text")
     raw_role = F.coalesce(F.col(role), F.lit(""))
@@ -71,6 +89,24 @@ def parse_chats(formatted: Column) -> Column:
     return F.transform(pieces, lambda x: F.struct(unescape(F.substring_index(x, BODY, 1)).alias("role"), unescape(F.substring_index(F.substring_index(x, BODY, -1), END, 1)).alias("text")))
 
 
+_HELD = r"<\|(?:image|audio|document):[0-9]+\|>"
+
+
+def parse_parts(body: Column) -> Column:
+    """The parts (type, text, part) of a formatted body in order: a placeholder has the number of
+    its part and no text, and a text between placeholders is unescaped."""
+    texts, marks = F.split(body, _HELD), F.regexp_extract_all(body, F.lit(_HELD), F.lit(0))
+
+    def one(i: Column) -> Column:
+        half = F.floor(i / 2).cast("int")
+        mark = F.get(marks, half)
+        said = F.struct(F.lit("text").alias("type"), unescape(F.get(texts, half)).alias("text"), F.lit(None).cast("int").alias("part"))
+        held = F.struct(F.regexp_extract(mark, "[a-z]+", 0).alias("type"), F.lit(None).cast("string").alias("text"), F.regexp_extract(mark, "[0-9]+", 0).cast("int").alias("part"))
+        return F.when(i % 2 == 0, said).otherwise(held)
+
+    return F.filter(F.transform(F.sequence(F.lit(0), 2 * F.size(marks)), one), lambda p: (p["type"] != "text") | (p["text"] != ""))
+
+
 def masked_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, with nothing between the spans."""
     cut = lambda s: unescape(formatted.substr((s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))

@@ -5,26 +5,33 @@ from __future__ import annotations
 import gc
 import math
 import os
+import re
 import tempfile
 import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glyphon.shipping import ship
 
 #: Name under which a caller's own columns travel while an operator adds others.
 ROW = "_row"
+#: Rows and bytes that an Arrow function takes at once, about.
+MOST_ROWS, MOST_BYTES = 4_000, 16 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder name below spark.checkpoint.dir, the place that all executors see.
 
-    Only where that setting is missing (as in tests) a local folder is made for it.
+    Only in local mode a missing setting (as in tests) is filled with a local folder; on a
+    cluster each executor would write to its own disk, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "glyphon-shared")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -68,7 +75,8 @@ def pack(df: DataFrame) -> DataFrame:
 
 def unpack(df: DataFrame, columns: list[str], added: list[str]) -> DataFrame:
     """The packed columns again, then ``added``; a packed column of an added name gives way."""
-    kept = [F.col(ROW)[c].alias(c) for c in columns if c not in added]
+    names = {a.casefold() for a in added}  # Spark tells names apart without regard to case
+    kept = [F.col(ROW)[c].alias(c) for c in columns if c.casefold() not in names]
     return df.select(*kept, *added)
 
 
@@ -125,15 +133,26 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         if now == seen:
             break
         seen = now
+    else:
+        raise RuntimeError("the components did not settle")
     roots = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root")).unionByName(roots).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` over batches bounded by bytes, so long texts don't add up in a worker."""
-    spark = df.sparkSession
-    ship(spark)
-    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", "16m"), ("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")):
-        if spark.conf.get(key, None) is None:
-            spark.conf.set(key, most)
-    return df.mapInArrow(fn, schema)
+def row_schema(rows: DataFrame, added: str) -> StructType:
+    """The packed rows' type and the ``added`` columns (name type, ...), whatever the packed names are."""
+    return StructType([rows.schema[ROW], *StructType.fromDDL(added).fields])
+
+
+def arrow_map(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` over batches cut to a bounded number of bytes, so long texts don't add up in ``fn``."""
+    ship(df.sparkSession)
+
+    def bounded(batches):
+        for batch in batches:
+            n = batch.num_rows
+            step = max(1, min(n, MOST_ROWS, n * MOST_BYTES // max(1, batch.nbytes)))
+            for a in range(0, n, step):
+                yield batch.slice(a, step)
+
+    return df.mapInArrow(lambda batches: fn(bounded(batches)), schema)

@@ -9,8 +9,8 @@ bands that overlap by half, bands that reach the bound are kept, and a banded al
 of the piece with the text there decides.
 
 Texts are compared by letters and digits, lower-cased, with anything else as one space.
-The benchmark is taken to the executors in blocks of a bounded number of characters, one
-pass over the texts for each.
+The benchmark is taken to the executors in blocks of a bounded number of characters, and
+one pass over the texts compares stretches of them with all blocks.
 
 Cases: a null or empty text or item matches nothing; items of fewer than ``Q`` characters
 hold no q-gram, and are looked up as they are, between spaces or ends; null ids are carried as they are; repeated
@@ -20,6 +20,7 @@ input columns.
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_right
 from functools import cache
 
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import arrow_map, pack, unpack
 
@@ -35,6 +37,8 @@ Q, PIECE, STRIDE = 12, 60, 30
 EDIT_RATE = 0.05
 #: Characters of benchmark that go to the executors at once, and of text looked at together.
 BLOCK, STRIP = 8_000_000, 1_000_000
+#: Bytes of texts that are held while they are compared with one block after the other.
+STRETCH = 64 << 20
 _TOP = 0x3000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 22
@@ -216,59 +220,79 @@ class LeakFinder:
         return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """LeakFinders, each over a bounded part of the benchmark, broadcast."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list:
+    """(name, items) broadcasts, each of a bounded part of the benchmark; the name is random, so
+    that a worker never takes one block's index for another's."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = max(1, -(-chars // BLOCK))
+    n, out = max(1, -(-chars // BLOCK)), []
     for b in range(n):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b)
-        yield spark.sparkContext.broadcast(sorted(((r["item"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
+        rows = sorted(((r["item"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        out.append(spark.sparkContext.broadcast((uuid.uuid4().hex, rows)))
+    return out
 
 
-_FINDERS: dict[int, LeakFinder] = {}
+_FINDERS: dict[str, LeakFinder] = {}
 
 
-def _finder(items) -> LeakFinder:
-    """Built once in each worker for a broadcast block."""
-    key = id(items.value)
-    if key not in _FINDERS:
+def _finder(block) -> LeakFinder:
+    """The index of a broadcast block. A worker holds one at a time, however many blocks there are."""
+    name, items = block.value
+    if name not in _FINDERS:
         _FINDERS.clear()
-        _FINDERS[key] = LeakFinder(items.value)
-    return _FINDERS[key]
+        _FINDERS[name] = LeakFinder(items)
+    return _FINDERS[name]
+
+
+def _found(blocks: list, batches, column: str):
+    """(batch, leaks) for each batch, over all blocks: an index is made once for a stretch of texts, not once a text."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if len(blocks) == 1 or size >= STRETCH:
+            yield from _over_blocks(blocks, held, column)
+            held, size = [], 0
+    yield from _over_blocks(blocks, held, column)
+
+
+def _over_blocks(blocks: list, held: list, column: str):
+    leaks = [[] for _ in held]
+    if held:
+        for block in blocks:
+            for batch, out in zip(held, leaks, strict=True):
+                out += _finder(block).find(batch.column(column).to_pylist())
+    return zip(held, leaks, strict=True)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, piece, start, end, edits: each piece of an item found in each text."""
-    out = None
-    for items in _blocks(benchmark, "item_id", "text"):
-
-        def look(batches, items=items):
-            for batch in batches:
-                ids = batch.column(0).to_pylist()
-                rows = [(ids[r], *rest) for r, *rest in _finder(items).find(batch.column(1).to_pylist())]
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-                columns = zip(*rows, strict=True) if rows else [[]] * 6
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "piece", "start", "end", "edits"])
-
-        found = arrow_map(docs.select(F.col(id_col).cast("long"), text_col), look, "doc_id long, item_id long, piece int, start long, end long, edits int")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """doc_id, item_id, piece, start, end, edits: each piece of an item found in each text; one pass over the texts."""
+    blocks = _blocks(benchmark, "item_id", "text")
+
+    def look(batches):
+        for batch, leaks in _found(blocks, batches, "_text"):
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[r], *rest) for r, *rest in leaks]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "piece", "start", "end", "edits"])
+
+    return arrow_map(docs.select(F.col(id_col).cast("long"), F.col(text_col).alias("_text")), look, "doc_id long, item_id long, piece int, start long, end long, edits int")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows in which a piece of an item is found; no shuffle."""
-    for items in _blocks(benchmark, "item_id", "text"):
-        rows = pack(docs).withColumn("_text", F.col("_row")[text_col])
+    """``docs`` without the rows in which a piece of an item is found; one pass, no shuffle."""
+    blocks = _blocks(benchmark, "item_id", "text")
+    rows = pack(docs).withColumn("_text", F.col("_row")[text_col])
 
-        def keep(batches, items=items):
-            for batch in batches:
-                bad = {r for r, *_ in _finder(items).find(batch.column("_text").to_pylist())}
-                yield batch.select(["_row"]).filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
+    def keep(batches):
+        for batch, leaks in _found(blocks, batches, "_text"):
+            bad = {r for r, *_ in leaks}
+            yield batch.select(["_row"]).filter(pa.array([k not in bad for k in range(batch.num_rows)], pa.bool_()))
 
-        docs = unpack(arrow_map(rows, keep, f"_row {rows.schema['_row'].dataType.simpleString()}"), docs.columns, [])
-    return docs
+    return unpack(arrow_map(rows, keep, StructType([rows.schema["_row"]])), docs.columns, [])
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:

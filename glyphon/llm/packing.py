@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, bucket_count, dense_rank_in_groups, pack, stash, unpack
+from .common import arrow_map, bucket_count, dense_rank_in_groups, pack, row_schema, stash, unpack
 from .tokenbin import vocabulary
 from .tokens import packer
 
 CAPACITY = 4096
-#: Groups of equal cardinality; lengths of more than capacity / LARGE are large.
-GROUPS, LARGE = 48, 8
+#: Groups of equal cardinality; lengths of more than capacity / 2, then capacity / 3, are large.
+GROUPS, LARGE = 48, (2, 3)
 
 
 def _best_pattern(sizes: np.ndarray, value: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -101,8 +101,33 @@ class _Queue:
         return self.take(sum(c for _, c in self.runs[self.at :]) - self.used)
 
 
-def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, large: int = LARGE) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """[(sequences, ((length, how many in each), ...)), ...] for a table of length counts."""
+def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+    """[(sequences, ((length, how many in each), ...)), ...] for a table of length counts.
+
+    Rounding up may leave room that a sequence of actual lengths could have used, the more
+    the more lengths count as large. So plans are made by linear grouping of the lengths
+    over a half and over a third of a sequence, and each again with its worst-filled
+    sequences repacked; the first of the fewest sequences is taken. Grouping no length at
+    all, which is best fit in falling order, is held against them, so that it's never beaten.
+    """
+    plans = [_grouped_plan(counts, capacity, groups, large) for large in LARGE]
+    plans += [_refilled(p, capacity) for p in plans]
+    return min([*plans, _grouped_plan(counts, capacity, 1, 1)], key=lambda p: sum(n for n, _ in p))
+
+
+def _refilled(plan, capacity: int):
+    """The plan with the sequences that are less than full by a 64th and more packed again by best fit."""
+    keep = [(n, held) for n, held in plan if sum(a * k for a, k in held) * 64 >= capacity * 63]
+    again: dict[int, int] = {}
+    for n, held in plan:
+        if sum(a * k for a, k in held) * 64 < capacity * 63:
+            for a, k in held:
+                again[a] = again.get(a, 0) + n * k
+    return keep + _grouped_plan(again, capacity, 1, 1)
+
+
+def _grouped_plan(counts: dict[int, int], capacity: int, groups: int, large: int):
+    """Linear grouping of lengths over capacity / large, then best fit of the rest."""
     patterns: list[tuple[int, tuple[tuple[int, int], ...]]] = []
     if counts.get(capacity):
         patterns.append((counts[capacity], ((capacity, 1),)))
@@ -203,8 +228,7 @@ def pack_pieces(pieces: DataFrame, length_col: str = "length", capacity: int = C
             arrays = [batch.column("_row"), pa.array(m[:, 4] + at // m[:, 3]), pa.array(m[:, 5] + at % m[:, 3] * length)]
             yield pa.RecordBatch.from_arrays(arrays, ["_row", "sequence_id", "offset"])
 
-    fields = rows.schema["_row"].dataType.simpleString()
-    placed = arrow_map(ranked.select("_row", "_len", "_rank"), place, f"_row {fields}, sequence_id long, offset long")
+    placed = arrow_map(ranked.select("_row", "_len", "_rank"), place, row_schema(rows, "sequence_id long, offset long"))
     return unpack(placed, columns, ["sequence_id", "offset"])
 
 

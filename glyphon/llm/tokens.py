@@ -13,6 +13,8 @@ import numpy as np
 
 #: Words that a worker remembers in each of two generations; bounds memory, not results.
 MEMO = 600_000
+#: Characters of the longest word remembered, so that the memory is bounded in bytes too.
+LONGEST = 32
 _RUN = re.compile(r"\s\s(?:\s|\Z)")
 
 
@@ -44,7 +46,8 @@ class _Memo(dict):
                 ids = self[word[:-1]] + self.packer.marks[word[-1]]
             else:
                 ids = self.packer.encoded(self.prefix + word)
-        self[word] = ids
+        if len(word) <= LONGEST:
+            self[word] = ids
         return ids
 
 
