@@ -16,4 +16,4 @@ QUERIES = {
     "op9_line_dedup": lines.op9_query,
     "op10_chat": chat.op10_query,
 }
-SQL = {"op1_sharding": sharding.OP1_SQL, "op10_chat": chat.OP10_SQL}
+SQL = {"op1_sharding": sharding.OP1_SQL, "op3_substring_dedup": substring.OP3_SQL, "op10_chat": chat.OP10_SQL}
