@@ -1,13 +1,15 @@
 """SimHash near-duplicates by vantage-point trees.
 
-A vantage-point tree over whole 64-bit fingerprints prunes next to nothing at a radius of
-4: distances of unlike texts gather around 32, where every shell is a boundary. So the
-fingerprints are first dealt out by projected Hamming distance zero: with the bits in
-``m`` blocks, two fingerprints that differ in at most r bits agree in some m - r blocks,
-so for every choice of m - r blocks there are shards of fingerprints at distance zero
-in those blocks, and every close pair meets in one. A shard is searched by a
-vantage-point tree (by plain comparison while it is small), and a shard too large for a
-task is cut into blocks of which every pair is searched. All close pairs are found.
+Shells around one vantage point can't shard 64-bit fingerprints: distances of unlike texts
+gather around 32, so most points lie within the radius of a shell's edge and would go to
+both sides (figures in the README). So the fingerprints are dealt out by Hamming distance
+zero in parts of their bits: with the bits in ``m`` blocks, two fingerprints that differ
+in at most r bits agree in some m - r blocks, so for every choice of m - r blocks there
+are shards of fingerprints at distance zero in those blocks, and every close pair meets
+in one. Blocks are as few as leave shards of about ``MEET`` unlike fingerprints, and each
+shard is searched by a vantage-point tree, whose leaves hold up to ``LEAF``; a shard too
+large for a task is cut into blocks of which every pair is searched. All close pairs are
+found.
 
 Distinct fingerprints are compared, not documents; each search hands on a spanning
 forest of its links, which has the same components as all its links.
@@ -32,6 +34,8 @@ from .common import arrow_map, connected_components, stash
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints of one shard that one task searches; larger shards are cut.
 SHARD = 20_000
+#: Unlike fingerprints that meet in a shard, about; more copies of each fingerprint would be dealt out for fewer.
+MEET = 512
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -63,7 +67,7 @@ class VantageTree:
     """Exact search within a Hamming radius. Children are the near and the far half around
     the median distance from a vantage point; the triangle bound says which to enter."""
 
-    LEAF = 64
+    LEAF = 16
 
     def __init__(self, points: np.ndarray):
         self.points = points
@@ -113,26 +117,26 @@ class VantageTree:
                 stack += [(near, q[d - radius <= mu]), (far, q[d + radius > mu])]
 
 
-def spanning_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (by index) of a spanning forest of all pairs of distinct points within the radius."""
-    parent = np.arange(len(points))
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The labels (smallest index reachable) after joining a with b; whole arrays at a time."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (label[label] != label).any():
+            label = label[label]
 
-    def top(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    a, b = [], []
+def spanning_links(points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(point, first point) by index, which join what the pairs of distinct points within the radius join."""
+    label = np.arange(len(points))
     for x, y in VantageTree(points).within(points, radius):
-        keep = x < y
-        for i, j in zip(x[keep].tolist(), y[keep].tolist(), strict=True):
-            p, q = top(i), top(j)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                a.append(i)
-                b.append(j)
-    return np.array(a, np.int64), np.array(b, np.int64)
+        label = _joined(label, x, y)
+    at = np.flatnonzero(label != np.arange(len(points)))
+    return at, label[at]
 
 
 def block_masks(n: int, radius: int, slack: int = 0) -> list[int]:
@@ -150,7 +154,7 @@ def block_masks(n: int, radius: int, slack: int = 0) -> list[int]:
 def fingerprint_links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Links (a, b) of distinct fingerprints ``fp``: their components are those of all pairs within the radius."""
     n = prints.count()
-    masks = block_masks(n, radius)
+    masks = block_masks(max(1, n // MEET), radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keys = F.explode(F.array(*[F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for k, m in enumerate(signed)]))
     dealt = prints.select("fp", keys.alias("key")).select("key.choice", "key.value", "fp")
