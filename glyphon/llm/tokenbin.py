@@ -1,9 +1,12 @@
 """Token ids of a corpus as binary files with Elias-Fano document boundaries.
 
 A file is one segment: a header, the ids of its documents one after the other (2 bytes
-an id if the vocabulary allows, else 4), the documents' ends as an Elias-Fano sequence
-with samples for select, and the document ids. Spark's own writer commits the files, so
-they can lie in any store, and a lost task leaves nothing behind.
+an id if the vocabulary allows, else 4), and two Elias-Fano sequences with samples for
+select: the documents' ends, and the document ids less the smallest. A document's offsets
+come from select alone; no table of 64-bit offsets is written or made on reading. Spark's
+own writer commits the files, so they can lie in any store, and a lost task leaves nothing
+behind. A manifest beside the files counts segments, documents and tokens, and a reader
+that finds others raises, as it does for a file that is cut off.
 
 Cases: a null text is an empty one (its end id only); null document ids come first;
 rows that share a document id are ordered by a hash of their text; further columns are
@@ -12,108 +15,127 @@ not read; an empty table leaves no segment and gives no rows.
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_map, shared_dir, stash
 from .tokens import packer
 
-MAGIC = b"GLYTOK01"
-_HEAD = "<8sIIQQBBQQQ"
+MAGIC = b"GLYTOK02"
+_HEAD, _EF = "<8sIIQQBQQq", "<QBQQ"
 HEAD_SIZE = struct.calcsize(_HEAD)
 #: Bytes of ids after which a segment is closed.
 SEGMENT = 4 << 20
 
 
 class EliasFano:
-    """A non-decreasing sequence in about 2 + log2(universe / n) bits a value."""
+    """A non-decreasing sequence in about 2.5 + log2(universe / n) bits a value: the low bits as
+    they are, the high ones in unary, and where each ``SAMPLE``-th one bit is, from which select looks on."""
 
     SAMPLE = 64
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray):
-        self.n, self.low_bits, self.low, self.high = n, low_bits, low, high
-        counts = np.bitwise_count(high).astype(np.int64)
-        self.ones_before = np.concatenate([[0], np.cumsum(counts)])
-        # the byte in which each SAMPLE-th one lies: where select starts to look
-        self.samples = np.searchsorted(self.ones_before, np.arange(0, n, self.SAMPLE), side="right") - 1
+    def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: np.ndarray):
+        self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
-        values = np.asarray(values, np.int64)
+        values = np.asarray(values).astype(np.uint64)
         n = len(values)
-        low_bits = max(0, int(values[-1] // n).bit_length() - 1) if n else 0
+        low_bits = max(0, (int(values[-1]) // n).bit_length() - 1) if n else 0
+        low = b""
         if low_bits:
-            bits = (values[:, None] >> np.arange(low_bits)) & 1
-            low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
-        else:
-            low = np.zeros(0, np.uint8)
-        spots = (values >> low_bits) + np.arange(n)
+            bits = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)
+            low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+        spots = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         flags = np.zeros(int(spots[-1]) + 1 if n else 0, np.uint8)
         flags[spots] = 1
-        return cls(n, low_bits, low, np.packbits(flags, bitorder="little"))
+        return cls(n, low_bits, low, np.packbits(flags, bitorder="little").tobytes(), spots[:: cls.SAMPLE].astype("<u4"))
 
     def select(self, i: int) -> int:
-        """The i-th value, from one sample, a walk over a few bytes and the low bits."""
-        at = int(self.samples[i // self.SAMPLE])
-        while self.ones_before[at + 1] <= i:
-            at += 1
-        byte, left = int(self.high[at]), i - int(self.ones_before[at])
+        """The i-th value: from the sample before it over a few bytes, and its low bits."""
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        s, left = divmod(i, self.SAMPLE)
+        at = int(self.samples[s])
+        byte = at >> 3
+        bits = self.high[byte] >> (at & 7) << (at & 7)
+        while left >= (ones := bits.bit_count()):
+            left -= ones
+            byte += 1
+            bits = self.high[byte]
         for _ in range(left):
-            byte &= byte - 1
-        spot = at * 8 + (byte & -byte).bit_length() - 1
-        low = 0
-        for k in range(self.low_bits):
-            b = i * self.low_bits + k
-            low |= (int(self.low[b >> 3]) >> (b & 7) & 1) << k
-        return ((spot - i) << self.low_bits) | low
-
-    def all(self) -> np.ndarray:
-        """Every value, as select gives it."""
-        spots = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        low = np.zeros(self.n, np.int64)
-        if self.low_bits:
-            bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-            low = bits.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
-        return ((spots - np.arange(self.n)) << self.low_bits) | low
+            bits &= bits - 1
+        value = byte * 8 + (bits & -bits).bit_length() - 1 - i
+        if not self.low_bits:
+            return value
+        first = i * self.low_bits
+        part = int.from_bytes(self.low[first >> 3 : (first + self.low_bits + 7) >> 3], "little")
+        return value << self.low_bits | part >> (first & 7) & ((1 << self.low_bits) - 1)
+
+    def pack(self) -> bytes:
+        return struct.pack(_EF, self.n, self.low_bits, len(self.low), len(self.high)) + self.samples.tobytes() + self.low + self.high
+
+    @classmethod
+    def unpack(cls, data: bytes, at: int) -> tuple[EliasFano, int]:
+        """The sequence that begins at a place in ``data``, and where it ends."""
+        n, low_bits, n_low, n_high = struct.unpack_from(_EF, data, at)
+        at += struct.calcsize(_EF)
+        n_samples = -(-n // cls.SAMPLE)
+        samples = np.frombuffer(data, "<u4", n_samples, at)
+        at += 4 * n_samples
+        end = at + n_low + n_high
+        if end > len(data):
+            raise ValueError("a token file is cut off")
+        return cls(n, low_bits, data[at : at + n_low], data[at + n_low : end], samples), end
 
 
 def segment_bytes(part: int, seq: int, width: int, ids: list[bytes], doc_ids: list[int | None]) -> bytes:
-    """``ids``: each document's ids, packed in ``width`` bytes."""
+    """``ids``: each document's ids, packed in ``width`` bytes; ``doc_ids`` ascending, nulls first."""
     ends = np.cumsum([len(x) // width for x in ids])
-    ef, body = EliasFano.of(ends), b"".join(ids)
-    null = np.packbits(np.array([d is None for d in doc_ids], np.uint8)).tobytes()
-    head = struct.pack(_HEAD, MAGIC, part, seq, len(ids), int(ends[-1]), width, ef.low_bits, len(body), len(ef.low), len(ef.high))
-    return b"".join([head, body, ef.low.tobytes(), ef.high.tobytes(), np.array([d or 0 for d in doc_ids], "<i8").tobytes(), null])
+    named = [d for d in doc_ids if d is not None]
+    least = named[0] if named else 0
+    body = b"".join(ids)
+    head = struct.pack(_HEAD, MAGIC, part, seq, len(ids), int(ends[-1]), width, len(body), len(ids) - len(named), least)
+    return b"".join([head, body, EliasFano.of(ends).pack(), EliasFano.of(np.array([d - least for d in named], np.uint64)).pack()])
 
 
 class Segment:
-    """A segment read back; ``ids(i)`` are a document's ids, ``ends`` its select structure."""
+    """A segment read back; ``ids(i)`` are a document's ids, found by ``ends.select``."""
 
     def __init__(self, data: bytes):
-        magic, self.part, self.seq, self.n, self.n_tokens, self.width, low_bits, n_ids, n_low, n_high = struct.unpack_from(_HEAD, data)
+        if len(data) < HEAD_SIZE:
+            raise ValueError("a token file is cut off")
+        magic, self.part, self.seq, self.n, self.n_tokens, self.width, n_ids, self.n_null, self.least = struct.unpack_from(_HEAD, data)
         if magic != MAGIC:
             raise ValueError("not a token file")
-        at = HEAD_SIZE
-        self.body = np.frombuffer(data, f"<u{self.width}", n_ids // self.width, at)
-        low = np.frombuffer(data, np.uint8, n_low, at + n_ids)
-        high = np.frombuffer(data, np.uint8, n_high, at + n_ids + n_low)
-        self.ends = EliasFano(self.n, low_bits, low, high)
-        at += n_ids + n_low + n_high
-        doc_ids = np.frombuffer(data, "<i8", self.n, at)
-        null = np.unpackbits(np.frombuffer(data, np.uint8, (self.n + 7) // 8, at + 8 * self.n))[: self.n]
-        self.doc_ids = [None if x else int(d) for d, x in zip(doc_ids, null, strict=True)]
+        if len(data) < HEAD_SIZE + n_ids:
+            raise ValueError("a token file is cut off")
+        self.body = np.frombuffer(data, f"<u{self.width}", n_ids // self.width, HEAD_SIZE)
+        try:
+            self.ends, at = EliasFano.unpack(data, HEAD_SIZE + n_ids)
+            self.named, _ = EliasFano.unpack(data, at)
+        except (struct.error, ValueError) as e:
+            raise ValueError("a token file is cut off") from e
+
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.n_null else self.least + self.named.select(i - self.n_null)
+
+    def span(self, i: int) -> tuple[int, int]:
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
 
     def ids(self, i: int) -> np.ndarray:
-        return self.body[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        a, b = self.span(i)
+        return self.body[a:b]
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, byte_level: bool, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode ``docs`` and write them to ``path`` in ascending order of ``id_col``.
+    """Encode ``docs`` and write them to ``path`` in ascending order of ``id_col``, and the manifest beside it.
 
     The texts are dealt out by ranges of (id, hash of the text), so one id on many rows
     doesn't make one large task; each task sorts its range and writes it in segments.
@@ -135,13 +157,25 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, byte_level: bo
                 doc_ids.append(d)
                 size += len(ids[-1])
                 if size >= SEGMENT:
-                    yield pa.RecordBatch.from_arrays([pa.array([segment_bytes(part, seq, width, ids, doc_ids)], pa.binary())], ["segment"])
+                    yield closed(part, seq, width, ids, doc_ids)
                     seq, size, ids, doc_ids = seq + 1, 0, [], []
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array([segment_bytes(part, seq, width, ids, doc_ids)], pa.binary())], ["segment"])
+            yield closed(part, seq, width, ids, doc_ids)
+
+    def closed(part, seq, width, ids, doc_ids):
+        arrays = [pa.array([segment_bytes(part, seq, width, ids, doc_ids)], pa.binary()), pa.array([len(ids)], pa.int64()), pa.array([sum(map(len, ids)) // width], pa.int64())]
+        return pa.RecordBatch.from_arrays(arrays, ["segment", "docs", "tokens"])
 
+    made = arrow_map(rows.select("doc_id", "text"), write, "segment binary, docs long, tokens long")
+    seen = Observation()
+    made = made.observe(seen, F.count(F.lit(1)).alias("segments"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
     # the text writer puts a value's bytes down as they are, and a line end that readers of a segment don't reach
-    arrow_map(rows.select("doc_id", "text"), write, "segment binary").select(F.col("segment").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    made.select(F.col("segment").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    docs.sparkSession.createDataFrame([(json.dumps(seen.get),)], "value string").coalesce(1).write.text(_manifest(path))
+
+
+def _manifest(path: str) -> str:
+    return f"{path.rstrip('/')}.manifest"
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
@@ -150,18 +184,23 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     def read(batches):
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                if len(data) < HEAD_SIZE:
+                if not data:  # a task without documents leaves an empty file
                     continue
                 s = Segment(data)
-                ends = s.ends.all()
-                starts = np.concatenate([[0], ends[:-1]])
+                spans = [s.span(i) for i in range(s.n)]
                 packed = s.body.astype("<u4").tobytes()
-                crc = [zlib.crc32(packed[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([s.part] * s.n, pa.int64()), pa.array([s.seq] * s.n, pa.int64()), pa.array(s.doc_ids, pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
+                crc = [zlib.crc32(packed[4 * a : 4 * b]) for a, b in spans]
+                starts, sizes = [a for a, _ in spans], [b - a for a, b in spans]
+                arrays = [[s.part] * s.n, [s.seq] * s.n, [s.doc_id(i) for i in range(s.n)], starts, sizes, crc]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
     rows = stash(arrow_map(files, read, "part long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token-rows")
-    segments = rows.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n"))
+    segments = rows.groupBy("part", "seq").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs"))
+    wanted = json.loads(spark.read.text(_manifest(path)).first()[0])
+    found = segments.agg(F.count(F.lit(1)), F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if tuple(found) != (wanted["segments"], wanted["docs"], wanted["tokens"]):
+        raise ValueError(f"the token files hold {tuple(found)} segments, documents and tokens; the manifest says {wanted}")
     parts = segments.groupBy("part").agg(F.sum("n").alias("n"))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = parts.select("part", before(Window.orderBy("part")).alias("part_base"))
