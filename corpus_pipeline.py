@@ -24,13 +24,13 @@ SHINGLE, SIMILARITY = 5, 0.8
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no base rule and not the likelihood ratio rejects."""
+    """Documents that no base rule, not the likelihood ratio and no toxic words reject. Null and empty texts go."""
     judged = quality_verdicts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return judged.where("kept").select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated lines; documents of which nothing is left go."""
+    """Texts without their repeated lines; documents of which nothing is left go. Null texts stay as they are."""
     out = fuzzy_line_dedup(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast("long"))
@@ -50,13 +50,13 @@ def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark; null texts and ids stay."""
     return drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in the training sequences."""
-    return packed_documents(docs)
+    """The pieces of all documents, with their token ids, and their places in the training sequences."""
+    return packed_documents(docs, with_ids=True)
 
 
 STAGES = [
