@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import math
 import os
 import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,22 +39,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of the shuffle files of steps whose rows are written: Spark deletes them once
-    the driver's garbage is collected, which may otherwise be long after."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.2)
-
-
 def stash(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read and not a recomputation.
-    Shuffle files of earlier steps become free to go, so disk use doesn't add up.
+    The step's own shuffle files are deleted as it ends, so disk use doesn't add up.
     """
     spark = df.sparkSession
-    release(spark)
     path = shared_dir(spark, name)
     writer = df.write.option("compression", "zstd")
     before = spark.conf.get(_CLEANUP, None)
@@ -121,6 +110,8 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     pairs = edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs = stash(pairs, f"{name}-0")
     seen = None
+    if pairs.isEmpty():
+        return pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for step in range(1, 64):
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
