@@ -255,7 +255,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, byte_level: bool, end_id: int,
 
 def packed_documents(docs: DataFrame, with_ids: bool = False) -> DataFrame:
     pieces = token_pieces(docs, vocabulary("word_bpe_49k.json"), False, end_id=1, with_ids=with_ids)
-    return pack_pieces(pieces if with_ids else stash(pieces, "pieces"), order=("doc_id", "piece", "ids_crc32"))
+    return pack_pieces(stash(pieces, "pieces"), order=("doc_id", "piece", "ids_crc32"))
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:

@@ -466,7 +466,7 @@ def test_line_links_equal_brute_force(spark):
                 want.add((i, j))
     df = spark.createDataFrame([(k, t) for k, t in enumerate(rows)], "d long, norm string").select("d", "norm", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(1), "norm").alias("h2"))
     keys = lines._row_keys(df.select("h1", "h2", "norm"), lines.block_masks(len(rows), lines.RADIUS, 8), lines.MIN_WORDS)
-    links = lines.line_links(df.select("h1", "h2", "norm"), keys.select("h1", "len", "keys"))
+    links = lines.line_links(df.select("h1", "h2", "norm"), keys.select("h1", "len", "fp", "keys"))
     of = {r["node"]: r["d"] for r in df.select("d", F.concat(F.hex("h1"), F.lit("-"), F.hex("h2")).alias("node")).collect()}
     root = {of[r["node"]]: of[r["root"]] for r in connected_components(links).collect()}
     found = sum(i in root and root.get(i) == root.get(j) for i, j in want)
