@@ -187,7 +187,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 if not data:  # a task without documents leaves an empty file
                     continue
                 s = Segment(data)
-                spans = [s.span(i) for i in range(s.n)]
+                ends = [s.ends.select(i) for i in range(s.n)]
+                spans = list(zip([0, *ends], ends))
                 packed = s.body.astype("<u4").tobytes()
                 crc = [zlib.crc32(packed[4 * a : 4 * b]) for a, b in spans]
                 starts, sizes = [a for a, _ in spans], [b - a for a, b in spans]
