@@ -2,18 +2,20 @@
 
 The rule: a byte goes if a string of ``length`` bytes covers it that also starts in a
 document of a smaller id. An array of all suffixes would be many times the corpus, so
-the arrays are sparse: each window of ``length`` bytes is represented by the smallest
-hash of the ``k``-byte strings in it, which depends on the window's content alone. Equal
-windows so have equal representatives, and consecutive windows that share one form a
-block. About one position in fourteen enters the arrays.
+the arrays are sparse. Each window of ``length`` bytes is represented by the smallest
+hash of the ``k``-byte strings in it, which depends on the window's content alone: equal
+windows have equal representatives, and consecutive windows that share one form a
+block. Only blocks whose representative several documents have enter the arrays.
 
 1. Texts are gathered into chunks, each a row with an id of its own.
 2. Each chunk hands on the sorted array of its distinct representatives, cut by ranges
-   of value. In each range the arrays are batches of an index family: a batch is
-   merge-scanned against every level for matches, becomes a level, and levels of
-   equal size merge. What more than one document has is a long match's candidate.
-3. Only blocks of candidates are sent on, once for each chunk, and compared byte by
-   byte: for every window of every block, the smallest id that has it.
+   of value. Each range tells which of them more than one document has
+   (``RepresentativeLevels``): a filter that loses nothing.
+3. Only blocks of these are sent on, each content once for each chunk. Blocks of one
+   representative that are all alike are a match as a whole. The others are cut into
+   batches of an index family (``SuffixFamily``): a batch gets a suffix array, levels
+   of like size are merge-scanned for long matches and become one, and in the end
+   every window knows the smallest id that has it.
 4. Chunks take these answers and remove what they cover.
 
 A representative that very many documents share costs a row a chunk, not a row a
@@ -42,11 +44,14 @@ LENGTH, K = 50, 24
 CHUNK = 2 << 20
 #: Representatives that one range of values holds, about; a chunk has some 150,000.
 PER_RANGE = 1_000_000
+#: Windows in a batch of the index family, about.
+BATCH = 1 << 20
 _NULL_ID = (1 << 63) - 1
 
 
-class SuffixFamily:
-    """Levels of sorted arrays, each level at least twice the one below it."""
+class RepresentativeLevels:
+    """Sorted arrays of representatives, each level at least twice the one below it. They tell
+    which representatives several batches have, so that only those blocks enter suffix arrays."""
 
     def __init__(self):
         self.levels: list[np.ndarray] = []
@@ -70,6 +75,115 @@ class SuffixFamily:
         return np.unique(np.concatenate(self.hits)) if self.hits else np.zeros(0, np.uint64)
 
 
+def _words(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number that orders like them; zeros follow the text."""
+    x = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    for step, shift in ((1, 8), (2, 16), (4, 32)):
+        x = (x[:-step] << np.uint64(shift)) | x[step:]
+    return x[: len(text)]
+
+
+class SuffixArray:
+    """The places of a text in the order of their suffixes, by their first ``length`` bytes; of
+    places that agree in all of these one stays, with the smallest id of all."""
+
+    def __init__(self, words: np.ndarray, places: np.ndarray, low: np.ndarray):
+        self.words, self.places, self.low = words, places, low
+
+    @classmethod
+    def of(cls, text: np.ndarray, at: np.ndarray, ids: np.ndarray, length: int = LENGTH) -> tuple[SuffixArray, np.ndarray]:
+        """The array of the suffixes that begin at ``at``, and the entry of each. Built by prefix
+        doubling: the rank of 2n bytes is that of the pair of ranks of n bytes."""
+        words = _words(np.concatenate([text, np.zeros(length, np.uint8)]))
+        rank, size = np.unique(words, return_inverse=True)[1].astype(np.int64), 8
+        while 2 * size <= length:
+            rank = np.unique(rank[:-size] * (int(rank.max()) + 1) + rank[size:], return_inverse=True)[1].astype(np.int64)
+            size *= 2
+        pair = rank[at] * (int(rank.max()) + 1) + rank[at + length - size]
+        _, first, entry = np.unique(pair, return_index=True, return_inverse=True)
+        low = np.full(len(first), _NULL_ID)
+        np.minimum.at(low, entry, ids)
+        return cls(words, at[first], low), entry
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def lower_bound(self, other: SuffixArray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix of ``other``: the first entry here that isn't smaller, and whether it has the same ``length`` bytes."""
+        lo, hi = np.zeros(len(other), np.int64), np.full(len(other), len(self), np.int64)
+        same = np.zeros(len(other), bool)
+        steps = [*range(0, length - 8, 8), length - 8]
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            mid = (lo[open_] + hi[open_]) // 2
+            mine, theirs = self.places[mid], other.places[open_]
+            less, tied = np.zeros(len(open_), bool), np.arange(len(open_))
+            for step in steps:  # by common prefixes: the next eight bytes of those that agree so far
+                x, y = self.words[mine[tied] + step], other.words[theirs[tied] + step]
+                less[tied] = x < y
+                tied = tied[x == y]
+                if not len(tied):
+                    break
+            same[open_[tied]] = True
+            lo[open_] = np.where(less, mid + 1, lo[open_])
+            hi[open_] = np.where(less, hi[open_], mid)
+            open_ = open_[lo[open_] < hi[open_]]
+        return lo, same
+
+    def merged(self, other: SuffixArray) -> tuple[SuffixArray, np.ndarray, np.ndarray]:
+        """Both arrays as one, and the new entries of this one's and the other's entries. Suffixes
+        in both are the long matches; they become one entry of the smaller id."""
+        at, same = self.lower_bound(other)
+        before = at[~same]
+        to_mine = np.arange(len(self)) + np.searchsorted(before, np.arange(len(self)), side="right")
+        to_other = np.empty(len(other), np.int64)
+        to_other[~same] = before + np.arange(len(before))
+        to_other[same] = to_mine[at[same]]
+        n = len(self) + len(before)
+        places, low = np.empty(n, np.int64), np.full(n, _NULL_ID)
+        places[to_other] = other.places + len(self.words)
+        places[to_mine] = self.places
+        low[to_mine] = self.low
+        low[to_other] = np.minimum(low[to_other], other.low)
+        return SuffixArray(np.concatenate([self.words, other.words]), places, low), to_mine, to_other
+
+
+class SuffixFamily:
+    """Suffix arrays in levels, each at least twice the one after it: a new batch gets an
+    array of its own, and while the last level isn't smaller than half of the one before,
+    the two are merge-scanned for long matches and become one."""
+
+    def __init__(self):
+        self.levels: list[SuffixArray] = []
+        #: For each level, the batches in it: (number, entry of each of the batch's windows).
+        self.members: list[list[tuple[int, np.ndarray]]] = []
+        self.count = 0
+
+    def add(self, contents: list[bytes], ids: np.ndarray) -> None:
+        """A batch: every window of ``LENGTH`` bytes of the contents, each of them in the document ``ids``."""
+        sizes = np.array([len(c) for c in contents], np.int64)
+        ends = np.cumsum(sizes)
+        windows = sizes - LENGTH + 1
+        at = np.arange(windows.sum()) + np.repeat(ends - sizes - (np.cumsum(windows) - windows), windows)
+        array, entry = SuffixArray.of(np.frombuffer(b"".join(contents), np.uint8), at, np.repeat(ids, windows))
+        self.levels.append(array)
+        self.members.append([(self.count, entry)])
+        self.count += 1
+        while len(self.levels) > 1 and 2 * len(self.levels[-1]) > len(self.levels[-2]):
+            self._merge()
+
+    def _merge(self) -> None:
+        array, to_mine, to_other = self.levels[-2].merged(self.levels[-1])
+        members = [(k, to[entry]) for part, to in ((self.members[-2], to_mine), (self.members[-1], to_other)) for k, entry in part]
+        self.levels[-2:], self.members[-2:] = [array], [members]
+
+    def lowest(self) -> np.ndarray:
+        """For each window of all batches, in order: the smallest id that has it."""
+        while len(self.levels) > 1:
+            self._merge()
+        return np.concatenate([self.levels[0].low[entry] for _, entry in sorted(self.members[0], key=lambda m: m[0])]) if self.levels else np.zeros(0, np.int64)
+
+
 def representatives(buf: np.ndarray, length: int = LENGTH, k: int = K) -> np.ndarray:
     """The smallest hash of the k-byte strings in each window of ``length`` bytes."""
     n = len(buf) - length + 1
@@ -174,12 +288,12 @@ def _candidates(chunks: DataFrame, ranges: int) -> DataFrame:
 
     def scan(key, batches):
         rows = [r for b in batches for r in zip(b.column("chunk").to_pylist(), b.column("rep").to_pylist(), b.column("many").to_pylist(), strict=True)]
-        family, local = SuffixFamily(), []
+        levels, local = RepresentativeLevels(), []
         for _, rep, many in sorted(rows):
             rep = np.frombuffer(rep, np.uint64)
-            family.add(rep)
+            levels.add(rep)
             local.append(rep[np.unpackbits(np.frombuffer(many, np.uint8))[: len(rep)].astype(bool)])
-        shared = np.union1d(family.shared(), np.concatenate(local))
+        shared = np.union1d(levels.shared(), np.concatenate(local))
         for chunk, rep, _ in rows:
             rep = np.frombuffer(rep, np.uint64)
             at = np.minimum(np.searchsorted(shared, rep), max(0, len(shared) - 1))
@@ -258,42 +372,54 @@ def _answers(joined: DataFrame, ranges: int) -> DataFrame:
         rep, number, low, high, where = map(np.concatenate, (reps, numbers, lows, highs, where))
         order = np.argsort(rep, kind="stable")
         edges = np.concatenate([[0], np.flatnonzero(rep[order][1:] != rep[order][:-1]) + 1, [len(rep)]]).tolist()
-        out = defaultdict(list)
+        out, distinct, lowest, blocks_of, content_of = defaultdict(list), [], [], [], []
         for a, b in zip(edges, edges[1:]):
             group = order[a:b].tolist()
-            first: dict[bytes, int] = {}
+            first: dict[bytes, list[int]] = {}
             for i in group:
-                c, d = contents[i], int(low[i])
-                if first.get(c, _NULL_ID) >= d:
-                    first[c] = d
-            if len(first) == 1:
-                d = min(first.values())
+                first.setdefault(contents[i], []).append(i)
+            if len(first) == 1:  # one content: the match is the whole block
+                d = int(low[group].min())
                 for i in group:
                     if d < high[i]:
-                        out[int(where[i])] += (int(number[i]), len(contents[i]) - LENGTH + 1, d)
+                        out[int(where[i])].append((int(number[i]), len(contents[i]) - LENGTH + 1, d))
                 continue
-            window: dict[bytes, int] = {}
-            for c, d in first.items():
-                for s in range(len(c) - LENGTH + 1):
-                    w = c[s : s + LENGTH]
-                    if window.get(w, _NULL_ID) >= d:
-                        window[w] = d
-            runs: dict[bytes, list[tuple[int, int]]] = {}
-            for c in first:
-                found = runs[c] = []
-                for s in range(len(c) - LENGTH + 1):
-                    d = window[c[s : s + LENGTH]]
-                    if found and found[-1][1] == d:
-                        found[-1] = (found[-1][0] + 1, d)
-                    else:
-                        found.append((1, d))
-            for i in group:
-                found = runs[contents[i]]
-                if any(d < high[i] for _, d in found):
-                    for m, d in found:
-                        out[int(where[i])] += (int(number[i]), m, d)
-        for w, flat in out.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunks[w]]), pa.array([np.array(flat, "<i8").tobytes()], pa.binary())], ["chunk", "answer"])
+            for c, same in first.items():
+                blocks_of += same
+                content_of += [len(distinct)] * len(same)
+                distinct.append(c)
+                lowest.append(int(low[same].min()))
+        answers = {w: [np.array(flat, "<i8")] for w, flat in out.items()}
+        if distinct:
+            windows = np.array([len(c) - LENGTH + 1 for c in distinct], np.int64)
+            batch = (np.cumsum(windows) - windows) // BATCH
+            cuts = [*np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]])).tolist(), len(distinct)]
+            family, ids = SuffixFamily(), np.array(lowest, np.int64)
+            for a, b in zip(cuts, cuts[1:]):
+                family.add(distinct[a:b], ids[a:b])
+            d = family.lowest()
+            # runs of windows of one answer, each within a content
+            begins = np.zeros(len(d), bool)
+            begins[np.cumsum(windows) - windows] = True
+            begins[1:] |= d[1:] != d[:-1]
+            run = np.flatnonzero(begins)
+            size, d = np.diff(np.concatenate([run, [len(d)]])), d[run]
+            start = np.searchsorted(run, np.cumsum(windows) - windows)
+            count = np.diff(np.concatenate([start, [len(run)]]))
+            block, content = np.array(blocks_of, np.int64), np.array(content_of, np.int64)
+            kept = np.minimum.reduceat(d, start)[content] < high[block]
+            block, content = block[kept], content[kept]
+            by = np.argsort(where[block], kind="stable")
+            block, content = block[by], content[by]
+            n = count[content]
+            rows = np.repeat(start[content] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            flat = np.stack([np.repeat(number[block].astype(np.int64), n), size[rows], d[rows]], axis=1)
+            of = np.repeat(where[block], n)
+            edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(of)]):
+                answers.setdefault(int(of[a]), []).append(flat[a:b])
+        for w, parts in answers.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunks[w]]), pa.array([np.concatenate(parts).astype("<i8").tobytes()], pa.binary())], ["chunk", "answer"])
 
     sent = arrow_map(joined, send, "range long, chunk string, rep binary, number binary, ids binary, sizes binary, contents binary")
     return sent.groupBy("range").applyInArrow(_streamed(compare), "chunk string, answer binary")

@@ -224,6 +224,35 @@ def test_suffix(docs, empty):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+def test_suffix_family():
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 3, 300).astype(np.uint8).tobytes() for _ in range(6)]  # with zero bytes
+    base.append(b"\0" * 200)
+    family, want, contents, ids, levels = suffix.SuffixFamily(), {}, [], [], 0
+    for k in range(40):
+        batch = []
+        for _ in range(int(rng.integers(1, 5))):
+            x = base[rng.integers(0, len(base))]
+            a = int(rng.integers(0, 150))
+            batch.append(x[a : a + int(rng.integers(50, 150))] + rng.integers(0, 3, int(rng.integers(0, 60))).astype(np.uint8).tobytes())
+        batch = [c for c in batch if len(c) >= 50]
+        low = rng.integers(0, 1000, len(batch))
+        if batch:
+            family.add(batch, low)
+            levels = max(levels, len(family.levels))
+        contents += batch
+        ids += low.tolist()
+    for array in family.levels:
+        keys = [b"".join(int(array.words[p + s]).to_bytes(8, "big") for s in (0, 8, 16, 24, 32, 40, 42)) for p in array.places]
+        assert keys == sorted(set(keys))
+    assert levels > 2  # several at once, each at least twice the next
+    assert all(len(a) >= 2 * len(b) for a, b in zip(family.levels, family.levels[1:]))
+    for c, d in zip(contents, ids):
+        for s in range(len(c) - 49):
+            want[c[s : s + 50]] = min(d, want.get(c[s : s + 50], d))
+    assert family.lowest().tolist() == [want[c[s : s + 50]] for c in contents for s in range(len(c) - 49)]
+
+
 def test_substring(docs, empty):
     gone = {(r["doc_id"], r["kept_doc_id"]) for r in substring.repeated_units(docs).collect()}
     assert {(1, 0), (2, 0), (5, 0), (5, 4), (11, 4), (None, 0)} <= gone and not any(d in (0, 4, 8) for d, _ in gone)
