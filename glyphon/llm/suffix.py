@@ -100,19 +100,21 @@ class SuffixArray:
             rank = np.unique(rank[:-size] * (int(rank.max()) + 1) + rank[size:], return_inverse=True)[1].astype(np.int64)
             size *= 2
         pair = rank[at] * (int(rank.max()) + 1) + rank[at + length - size]
-        _, first, entry = np.unique(pair, return_index=True, return_inverse=True)
-        low = np.full(len(first), _NULL_ID)
+        distinct, entry = np.unique(pair, return_inverse=True)
+        places, low = np.empty(len(distinct), np.int64), np.full(len(distinct), _NULL_ID)
+        places[entry] = at  # any one of those alike
         np.minimum.at(low, entry, ids)
-        return cls(words, at[first], low), entry
+        return cls(words, places, low), entry
 
     def __len__(self) -> int:
         return len(self.places)
 
     def lower_bound(self, other: SuffixArray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
         """For each suffix of ``other``: the first entry here that isn't smaller, and whether it has the same ``length`` bytes."""
-        lo, hi = np.zeros(len(other), np.int64), np.full(len(other), len(self), np.int64)
+        first, wanted = self.words[self.places], other.words[other.places]
+        lo, hi = np.searchsorted(first, wanted, side="left"), np.searchsorted(first, wanted, side="right")
         same = np.zeros(len(other), bool)
-        steps = [*range(0, length - 8, 8), length - 8]
+        steps = [*range(8, length - 8, 8), length - 8]
         open_ = np.flatnonzero(lo < hi)
         while len(open_):
             mid = (lo[open_] + hi[open_]) // 2
