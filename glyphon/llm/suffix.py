@@ -12,10 +12,12 @@ block. Only blocks whose representative several documents have enter the arrays.
    of value. Each range tells which of them more than one document has
    (``RepresentativeLevels``): a filter that loses nothing.
 3. Only blocks of these are sent on, each content once for each chunk. Blocks of one
-   representative that are all alike are a match as a whole. The others are cut into
-   batches of an index family (``SuffixFamily``): a batch gets a suffix array, levels
-   of like size are merge-scanned for long matches and become one, and in the end
-   every window knows the smallest id that has it.
+   representative that are all alike are a match as a whole. The others are taken in
+   parts of whole representatives, since windows of unlike ones are unlike, and a part
+   is cut into batches of an index family (``SuffixFamily``): a batch gets a suffix
+   array, levels of like size are merge-scanned for long matches and become one, and in
+   the end every window knows the smallest id that has it. So a task holds the arrays of
+   one part, not of its whole range.
 4. Chunks take these answers and remove what they cover.
 
 A representative that very many documents share costs a row a chunk, not a row a
@@ -37,15 +39,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, stash
+from .common import arrow_map, stash, trim
 
 LENGTH, K = 50, 24
 #: Bytes of text in a chunk.
 CHUNK = 2 << 20
 #: Representatives that one range of values holds, about; a chunk has some 150,000.
 PER_RANGE = 1_000_000
-#: Windows in a batch of the index family, about.
-BATCH = 1 << 20
+#: Windows in a batch of the index family, about, and in all batches of a family, if no one representative has more.
+BATCH, PART = 1 << 18, 1 << 20
+#: Windows whose representatives are computed at once.
+PIECE = 1 << 17
 _NULL_ID = (1 << 63) - 1
 
 
@@ -191,6 +195,8 @@ def representatives(buf: np.ndarray, length: int = LENGTH, k: int = K) -> np.nda
     n = len(buf) - length + 1
     if n < 1:
         return np.zeros(0, np.uint64)
+    if n > PIECE:  # piece by piece, so that what stands between doesn't add up
+        return np.concatenate([representatives(buf[a : a + PIECE + length - 1], length, k) for a in range(0, n, PIECE)])
     x = buf.astype(np.uint64)
     for step, shift in ((1, 8), (2, 16), (4, 32)):
         x = x[:-step] | (x[step:] << np.uint64(shift))
@@ -312,6 +318,7 @@ def _streamed(fn):
 
     def call(key, table):
         out = list(fn(key, table.to_batches()))
+        trim()
         return pa.Table.from_batches(out) if out else _EMPTY[fn.__name__].slice(0, 0)
 
     return call
@@ -335,6 +342,67 @@ def _shared_blocks(data: bytes, ends: bytes, ids: bytes, shared: list[bytes]):
     return rep, at, n, owner, number, list(numbers)
 
 
+def _parts(rep: np.ndarray, windows: np.ndarray):
+    """For each part of about ``PART`` windows: the edges of its representatives in the sorted ``rep``."""
+    edges = np.concatenate([np.flatnonzero(np.concatenate([[True], rep[1:] != rep[:-1]])), [len(rep)]])
+    before = np.concatenate([[0], np.cumsum(windows, dtype=np.int64)])[edges[:-1]] // PART
+    first = [*np.flatnonzero(np.concatenate([[True], before[1:] != before[:-1]])).tolist(), len(edges) - 1]
+    for a, b in zip(first, first[1:]):
+        yield edges[a : b + 1].tolist()
+
+
+def _part_answers(order: np.ndarray, edges: list[int], text: bytes, cuts: np.ndarray, number: np.ndarray, low: np.ndarray, high: np.ndarray, where: np.ndarray):
+    """(number of the chunk, runs) for the blocks ``order`` of the representatives between the ``edges``."""
+    out, distinct, lowest, blocks_of, content_of = defaultdict(list), [], [], [], []
+    for a, b in zip(edges, edges[1:]):
+        group = order[a:b].tolist()
+        first: dict[bytes, list[int]] = {}
+        for i, x, y in zip(group, cuts[group].tolist(), cuts[order[a:b] + 1].tolist(), strict=True):
+            first.setdefault(text[x:y], []).append(i)
+        if len(first) == 1:  # one content: the match is the whole block
+            d, c = int(low[group].min()), next(iter(first))
+            for i in group:
+                if d < high[i]:
+                    out[int(where[i])].append((int(number[i]), len(c) - LENGTH + 1, d))
+            continue
+        for c, same in first.items():
+            blocks_of += same
+            content_of += [len(distinct)] * len(same)
+            distinct.append(c)
+            lowest.append(int(low[same].min()))
+    for w, flat in out.items():
+        yield w, np.array(flat, "<i8")
+    if not distinct:
+        return
+    windows = np.array([len(c) - LENGTH + 1 for c in distinct], np.int64)
+    batch = (np.cumsum(windows) - windows) // BATCH
+    ends = [*np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]])).tolist(), len(distinct)]
+    family, ids = SuffixFamily(), np.array(lowest, np.int64)
+    for a, b in zip(ends, ends[1:]):
+        family.add(distinct[a:b], ids[a:b])
+    d = family.lowest()
+    # runs of windows of one answer, each within a content
+    begins = np.zeros(len(d), bool)
+    begins[np.cumsum(windows) - windows] = True
+    begins[1:] |= d[1:] != d[:-1]
+    run = np.flatnonzero(begins)
+    size, d = np.diff(np.concatenate([run, [len(d)]])), d[run]
+    start = np.searchsorted(run, np.cumsum(windows) - windows)
+    count = np.diff(np.concatenate([start, [len(run)]]))
+    block, content = np.array(blocks_of, np.int64), np.array(content_of, np.int64)
+    kept = np.minimum.reduceat(d, start)[content] < high[block]
+    block, content = block[kept], content[kept]
+    by = np.argsort(where[block], kind="stable")
+    block, content = block[by], content[by]
+    n = count[content]
+    rows = np.repeat(start[content] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    flat = np.stack([np.repeat(number[block].astype(np.int64), n), size[rows], d[rows]], axis=1)
+    of = np.repeat(where[block], n)
+    new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
+    for a, b in zip(new.tolist(), [*new[1:].tolist(), len(of)]):
+        yield int(of[a]), flat[a:b]
+
+
 def _answers(joined: DataFrame, ranges: int) -> DataFrame:
     """chunk, answer: packed (block number, windows, smallest id) runs where some id is smaller."""
 
@@ -358,68 +426,28 @@ def _answers(joined: DataFrame, ranges: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["range", "chunk", "rep", "number", "ids", "sizes", "contents"])
 
     def compare(key, batches):
-        chunks, where, reps, numbers, lows, highs, contents = [], [], [], [], [], [], []
+        chunks, where, reps, numbers, lows, highs, sizes, texts = ([] for _ in range(8))
         for b in batches:
-            for chunk, rep, number, ids, sizes, data in zip(*[b.column(c).to_pylist() for c in ("chunk", "rep", "number", "ids", "sizes", "contents")], strict=True):
-                n, data = len(rep) // 8, zstandard.decompress(data)
-                where.append(np.full(n, len(chunks)))
+            for chunk, rep, number, ids, size, data in zip(*[b.column(c).to_pylist() for c in ("chunk", "rep", "number", "ids", "sizes", "contents")], strict=True):
+                n = len(rep) // 8
+                where.append(np.full(n, len(chunks), np.int32))
                 chunks.append(chunk)
                 reps.append(np.frombuffer(rep, np.uint64))
                 numbers.append(np.frombuffer(zstandard.decompress(number), np.int32))
                 both = np.frombuffer(zstandard.decompress(ids), np.int64)
                 lows.append(both[:n])
                 highs.append(both[n:] + both[:n])
-                cuts = np.concatenate([[0], np.cumsum(np.frombuffer(zstandard.decompress(sizes), np.int32), dtype=np.int64)]).tolist()
-                contents += [data[a:b] for a, b in zip(cuts, cuts[1:])]
-        rep, number, low, high, where = map(np.concatenate, (reps, numbers, lows, highs, where))
+                sizes.append(np.frombuffer(zstandard.decompress(size), np.int32))
+                texts.append(zstandard.decompress(data))
+        rep, number, low, high, where, sizes = map(np.concatenate, (reps, numbers, lows, highs, where, sizes))
+        text = b"".join(texts)
+        del reps, numbers, lows, highs, texts
+        cuts = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
         order = np.argsort(rep, kind="stable")
-        edges = np.concatenate([[0], np.flatnonzero(rep[order][1:] != rep[order][:-1]) + 1, [len(rep)]]).tolist()
-        out, distinct, lowest, blocks_of, content_of = defaultdict(list), [], [], [], []
-        for a, b in zip(edges, edges[1:]):
-            group = order[a:b].tolist()
-            first: dict[bytes, list[int]] = {}
-            for i in group:
-                first.setdefault(contents[i], []).append(i)
-            if len(first) == 1:  # one content: the match is the whole block
-                d = int(low[group].min())
-                for i in group:
-                    if d < high[i]:
-                        out[int(where[i])].append((int(number[i]), len(contents[i]) - LENGTH + 1, d))
-                continue
-            for c, same in first.items():
-                blocks_of += same
-                content_of += [len(distinct)] * len(same)
-                distinct.append(c)
-                lowest.append(int(low[same].min()))
-        answers = {w: [np.array(flat, "<i8")] for w, flat in out.items()}
-        if distinct:
-            windows = np.array([len(c) - LENGTH + 1 for c in distinct], np.int64)
-            batch = (np.cumsum(windows) - windows) // BATCH
-            cuts = [*np.flatnonzero(np.concatenate([[True], batch[1:] != batch[:-1]])).tolist(), len(distinct)]
-            family, ids = SuffixFamily(), np.array(lowest, np.int64)
-            for a, b in zip(cuts, cuts[1:]):
-                family.add(distinct[a:b], ids[a:b])
-            d = family.lowest()
-            # runs of windows of one answer, each within a content
-            begins = np.zeros(len(d), bool)
-            begins[np.cumsum(windows) - windows] = True
-            begins[1:] |= d[1:] != d[:-1]
-            run = np.flatnonzero(begins)
-            size, d = np.diff(np.concatenate([run, [len(d)]])), d[run]
-            start = np.searchsorted(run, np.cumsum(windows) - windows)
-            count = np.diff(np.concatenate([start, [len(run)]]))
-            block, content = np.array(blocks_of, np.int64), np.array(content_of, np.int64)
-            kept = np.minimum.reduceat(d, start)[content] < high[block]
-            block, content = block[kept], content[kept]
-            by = np.argsort(where[block], kind="stable")
-            block, content = block[by], content[by]
-            n = count[content]
-            rows = np.repeat(start[content] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            flat = np.stack([np.repeat(number[block].astype(np.int64), n), size[rows], d[rows]], axis=1)
-            of = np.repeat(where[block], n)
-            edges = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(of) else of
-            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(of)]):
-                answers.setdefault(int(of[a]), []).append(flat[a:b])
+        answers: dict[int, list[np.ndarray]] = {}
+        for edges in _parts(rep[order], sizes[order] - LENGTH + 1):
+            for w, flat in _part_answers(order, edges, text, cuts, number, low, high, where):
+                answers.setdefault(w, []).append(flat)
         for w, parts in answers.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunks[w]]), pa.array([np.concatenate(parts).astype("<i8").tobytes()], pa.binary())], ["chunk", "answer"])
 

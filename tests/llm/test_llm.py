@@ -253,6 +253,42 @@ def test_suffix_family():
     assert family.lowest().tolist() == [want[c[s : s + 50]] for c in contents for s in range(len(c) - 49)]
 
 
+def test_suffix_families_hold_one_part(monkeypatch):
+    """A range's windows don't meet in one family: what one holds at once is bounded by whole representatives."""
+    monkeypatch.setattr(suffix, "PART", 400)
+    monkeypatch.setattr(suffix, "BATCH", 100)
+    sizes = []
+    lowest = suffix.SuffixFamily.lowest
+    monkeypatch.setattr(suffix.SuffixFamily, "lowest", lambda self: sizes.append(sum(len(e) for m in self.members for _, e in m)) or lowest(self))
+    rng = np.random.default_rng(5)
+    rep, contents = [], []
+    for r in range(60):
+        core = rng.integers(97, 123, 66).astype(np.uint8).tobytes()
+        for _ in range(6):  # contents of one representative, some alike, some in part
+            a, b = int(rng.integers(0, 3)), int(rng.integers(60, 67))
+            rep.append(r)
+            contents.append(core[a:b])
+    order = rng.permutation(len(rep))
+    rep, contents = np.array(rep, np.uint64)[order], [contents[i] for i in order]
+    low = rng.integers(0, 1000, len(rep))
+    high, number, where = low + rng.integers(0, 2, len(rep)), np.arange(len(rep), dtype=np.int32), np.zeros(len(rep), np.int32)
+    cuts = np.concatenate([[0], np.cumsum([len(c) for c in contents])])
+    by = np.argsort(rep, kind="stable")
+    got: dict[int, list[int]] = {}
+    for edges in suffix._parts(rep[by], np.diff(cuts)[by] - 49):
+        for _, flat in suffix._part_answers(by, edges, b"".join(contents), cuts, number, low, high, where):
+            for n, size, d in flat.tolist():
+                got.setdefault(n, []).extend([d] * size)
+    want: dict[bytes, int] = {}
+    for c, d in zip(contents, low.tolist()):
+        for s in range(len(c) - 49):
+            want[c[s : s + 50]] = min(d, want.get(c[s : s + 50], d))
+    assert max(sizes) <= 400 + 6 * 17 < sum(sizes) and len(sizes) > 5
+    for n, c in enumerate(contents):
+        mine = [want[c[s : s + 50]] for s in range(len(c) - 49)]
+        assert got.get(n, mine) == mine and (n in got or min(mine) >= high[n])
+
+
 def test_substring(docs, empty):
     gone = {(r["doc_id"], r["kept_doc_id"]) for r in substring.repeated_units(docs).collect()}
     assert {(1, 0), (2, 0), (5, 0), (5, 4), (11, 4), (None, 0)} <= gone and not any(d in (0, 4, 8) for d, _ in gone)
