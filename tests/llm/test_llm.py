@@ -541,6 +541,30 @@ def test_line_links_equal_brute_force(spark):
     assert {(i, j) for i, j in got if j - i < 6} <= want
 
 
+def test_pairs_left_out_are_no_links(spark):
+    """Outlines leave out no pair that is similar, whatever its SimHashes, and most others of a common passage."""
+    rng = np.random.default_rng(33)
+    vocabulary = ["".join(chr(97 + c) for c in rng.integers(0, 6, rng.integers(1, 5))) for _ in range(60)]
+    word = lambda: vocabulary[rng.integers(0, len(vocabulary))]
+    passage, rows = [word() for _ in range(12)], []
+    for n in (3, 7, 12, 16, 24, 40):
+        for _ in range(12):
+            words = [word() for _ in range(n)]
+            near = [w if rng.random() > 0.15 else rng.choice([word(), "", w + " " + word()]) for w in words]
+            rows += [" ".join(passage + words), " ".join(passage + [w for w in near if w]), " ".join(words) + " \U0001f600é", " ".join(words) + " é"]
+    df = spark.createDataFrame([(t,) for t in sorted(set(rows))], "norm string").select(F.xxhash64("norm").alias("h1"), "norm", lines._units("norm").alias("units"))
+    texts = df.select("h1", F.when(F.col("units").isNull() | (F.size("units") < 2 * lines.FEW), F.col("norm")).alias("norm"), lines._coded("units").alias("code"))
+    texts = texts.localCheckpoint()
+    out = lines._outlines(texts)
+    may = out.alias("x").join(out.alias("y"), F.expr("x.h1 < y.h1") & lines._may_link(lines.SIMILARITY)).select("x.h1", "y.h1")
+    pairs = texts.alias("s").join(texts.alias("t"), F.expr("s.h1 < t.h1"))
+    coded = F.col("s.code").isNotNull() & F.col("t.code").isNotNull()
+    pairs = pairs.select(F.col("s.h1").alias("a"), F.col("t.h1").alias("b"), *[F.when(coded, F.col(f"{c}.code")).otherwise(F.col(f"{c}.norm")).alias(d) for c, d in (("s", "x"), ("t", "y"))])
+    links = {tuple(r) for r in pairs.where("x IS NOT NULL AND y IS NOT NULL").where(lines._similar(lines.SIMILARITY)).select("a", "b").collect()}
+    may = {tuple(r) for r in may.collect()}
+    assert len(links) > 60 and links <= may and len(may) < 0.1 * len(rows) ** 2 / 2
+
+
 def test_odd_lines(spark):
     long = "x" * 50 + " "
     rows = [(0, None), (1, ""), (2, "\n\n"), (3, "a\na\na"), (3, "a\na\na"), (None, "a"), (4, " A\u00a0 \tb\r"), (5, "a   b"), (6, long * 3000), (7, long * 3000 + "tail")]
