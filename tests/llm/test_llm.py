@@ -1,6 +1,7 @@
 """The training-data operators against brute force, round trips, and odd inputs."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -10,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from glyphon.llm import chat, decontam, lines, packing, quality, sharding, simhash, substring, suffix, tokenbin
+from glyphon.llm import chat, common, decontam, lines, packing, quality, sharding, simhash, substring, suffix, tokenbin
 from glyphon.llm.common import connected_components, shared_dir
 from glyphon.llm.tokens import Packer
 
@@ -50,6 +51,18 @@ def test_components(spark):
     assert got == {x: top(x) for a, b in pairs if a != b for x in (a, b)}
 
 
+def test_freed_memory_is_handed_back():
+    def held():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")
+
+    kept = [np.ones(8_000) for _ in range(3_000)]  # below the size that is mapped apart
+    kept = kept[-1]  # what is above the freed part keeps it
+    before = held()
+    common.trim()
+    assert before - held() > 100 << 20 and len(kept)
+
+
 def test_shards(docs, empty):
     got = sharding.interleave_shards(docs, 5).collect()
     sizes, slots = defaultdict(int), defaultdict(list)
