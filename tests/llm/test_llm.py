@@ -578,6 +578,17 @@ def test_pairs_left_out_are_no_links(spark):
     assert len(links) > 60 and links <= may and len(may) < 0.1 * len(rows) ** 2 / 2
 
 
+def test_pairs_of_many_buckets_are_made_once(spark):
+    """Lines that share buckets are held against each other in one of them, and lines of one group in none."""
+    rows = [(k, f"{BASE} {end}") for k, end in enumerate(("one", "two", "three", "four"))] + [(4, OTHER)]
+    texts = spark.createDataFrame(rows, "h1 long, norm string").select("h1", "norm", lines._coded(F.split("norm", " ")).alias("code"))
+    dealt = {0: (10, 11, 12), 1: (10, 11, 12), 2: (11, 12), 3: (12, 13), 4: (10, 11, 12)}
+    members = [(key, h, "a" if h in (0, 3) else f"own {h}", h != 2) for h, keys in dealt.items() for key in keys]
+    tagged = spark.createDataFrame([(*m, list(dealt[m[1]])) for m in members], "key long, h1 long, group string, apart boolean, keys array<long>")
+    got = [tuple(r) for r in lines._held_apart(tagged.join(lines._outlines(texts), "h1"), lines.SIMILARITY).collect()]
+    assert sorted(got) == [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)]
+
+
 def test_odd_lines(spark):
     long = "x" * 50 + " "
     rows = [(0, None), (1, ""), (2, "\n\n"), (3, "a\na\na"), (3, "a\na\na"), (None, "a"), (4, " A\u00a0 \tb\r"), (5, "a   b"), (6, long * 3000), (7, long * 3000 + "tail")]
