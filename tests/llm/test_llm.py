@@ -589,6 +589,26 @@ def test_pairs_of_many_buckets_are_made_once(spark):
     assert sorted(got) == [(0, 1), (0, 2), (1, 2), (1, 3), (2, 3)]
 
 
+def test_lines_are_known_by_one_hash_unless_two_share_it(spark):
+    """Groups are the same by one hash of a line and by both; lines that share the first stay two."""
+    texts = [f"{BASE} {end}" for end in ("one", "two", "three")] + [OTHER, OTHER.replace("nobody", "nobudy"), "a line that is like none of the others here"]
+    rows = [(k, k, 100 + k, t) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "d long, h1 long, h2 long, norm string")
+    masks = lines.block_masks(len(rows), lines.RADIUS, 8)
+    groups = []
+    for alone in (True, False):
+        keys = lines._row_keys(df.select("h1", "h2", "norm"), masks, lines.MIN_WORDS, alone)
+        found = lines.line_groups(df.select("h1", "h2", "norm"), keys.select("h1", "keys"), lines.SIMILARITY, alone)
+        groups.append({r["h1"]: r["root"] for r in found.select(*lines._hashes(alone), "root").collect()})
+    assert groups[0] == {0: 0, 1: 0, 2: 0, 3: 3, 4: 3}
+    assert {k: v.split("-")[0] for k, v in groups[1].items()} == {k: str(v) for k, v in groups[0].items()}
+    once, n, alone = lines._distinct(df.union(df.where("d < 2")))
+    assert (n, alone) == (8, True) and {r["h1"]: (r["first"], r["n"]) for r in once.collect()}[1] == (1, 2)
+    once, n, alone = lines._distinct(df.withColumn("h1", F.col("h1") % 5))
+    assert (n, alone) == (6, False) and {(r["h1"], r["h2"]): r["n"] for r in once.where("h1 = 0").collect()} == {(0, 100): 1, (0, 105): 1}
+    assert lines._distinct(df.limit(0))[1:] == (0, True)
+
+
 def test_odd_lines(spark):
     long = "x" * 50 + " "
     rows = [(0, None), (1, ""), (2, "\n\n"), (3, "a\na\na"), (3, "a\na\na"), (None, "a"), (4, " A\u00a0 \tb\r"), (5, "a   b"), (6, long * 3000), (7, long * 3000 + "tail")]
